@@ -54,12 +54,9 @@ def connected(scratch: Scratch, edges: DataFrame, tag: str = "cc") -> DataFrame:
     rounds end when none changes. Round tables are written, never collected. Self-loops and repeated
     edges are harmless; no edges give no rows.
     """
-    e = scratch.write(
-        edges.select(F.col("a").alias("src"), F.col("b").alias("dst"))
-        .union(edges.select(F.col("b"), F.col("a")))
-        .distinct(),
-        f"{tag}-edges",
-    )
+    # written before both directions are taken: which edges span a group may differ from one evaluation to the next
+    given = scratch.write(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")), f"{tag}-given")
+    e = scratch.write(given.union(given.select("dst", "src")).distinct(), f"{tag}-edges")
     labels = scratch.write(
         e.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("near")).select("node", F.least("node", "near").alias("root")),
         f"{tag}-0",
