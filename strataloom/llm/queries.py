@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sharding, simhash
+from . import mixing, quality_rules, sharding, simhash
 from .common import table
 
 
@@ -14,12 +14,25 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digest(table(spark, sf_dir, "documents")).drop("shards")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_quality_rules": op2_quality_rules,
     "op5_sharding": op5_sharding,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
+    "op8_mixing": op8_mixing,
+}
+ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_rules.oracle(),
+    "op8_mixing": mixing.ORACLE,
 }
-ORACLES: dict[str, str] = {}
