@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality_rules, sharding, simhash, tokens
+from . import language, mixing, quality_rules, sharding, simhash, tokens
 from .common import table
 
 
@@ -32,12 +32,19 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")).digest()
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return language.predict_languages(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op5_sharding": op5_sharding,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
+    "op10_language_id": op10_language_id,
 }
 ORACLES: dict[str, str] = {
     "op2_quality_rules": quality_rules.oracle(),

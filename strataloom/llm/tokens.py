@@ -20,7 +20,7 @@ BLOCK_IDS = 1 << 18
 STORE = 150_000
 
 #: White space beyond ASCII, or white space next to white space: the text is then cut before whole runs only, or not at all.
-_FOREIGN = regex.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+_FOREIGN = regex.compile(r"[\x1c-\x1f]|[^\S \t\n\x0b\x0c\r]")
 _RUNS = regex.compile(r"[ \t\n\x0b\x0c\r]{2}")
 _CUT = regex.compile(r"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
 
