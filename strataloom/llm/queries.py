@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, mixing, quality_rules, sharding, simhash, tokens, toxicity
+from . import decontamination, language, mixing, quality_rules, sharding, simhash, tokens, toxicity
 from .common import table
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return got.drop("tiles")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op4_toxicity": op4_toxicity,
     "op5_sharding": op5_sharding,
+    "op6_decontamination": op6_decontamination,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_mixing": op8_mixing,
     "op9_token_output": op9_token_output,
