@@ -22,8 +22,12 @@ STRETCH = 200
 SCALE = 12.0
 #: Words that a task counts before it passes its counts on, and words that a worker keeps scores of.
 HOLD = 250_000
+#: Words of a language that are taken together in a round.
+GATHER = 50_000
 MAX_LANGUAGES = 1_000
 START = "▁"
+#: Multiplier of the rolling hash of letters.
+HASH = np.uint64(0x9E3779B97F4A7C15)
 
 _RUN = re.compile(r"[^\W\d_]+")
 
@@ -48,24 +52,36 @@ class Pieces:
             elif not (sp.is_control(i) or sp.is_unknown(i)) and (bare := piece.removeprefix(START)) == bare.lower() and (bare.isalpha() or piece == START):
                 self.index[piece] = i
         self.longest = max(map(len, self.index))
+        self.by_length = []
+        for m in range(1, self.longest + 1):
+            own = [(p, i) for p, i in self.index.items() if len(p) == m]
+            h = np.zeros(len(own), dtype=np.uint64)
+            codes = np.array([p for p, _ in own], dtype=f"<U{m}").view("<u4").reshape(len(own), m)
+            for j in range(m):
+                h = h * HASH + codes[:, j]
+            order = np.argsort(h)
+            self.by_length.append((h[order], np.array([i for _, i in own], dtype=np.int32)[order]))
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, list[str]]:
         """For words of one length: piece numbers [word, start, length - 1], `size` where there is none, and
-        size + 1 + k for the k-th of the letters that are no piece, which are returned."""
-        n, none, get = len(words[0]), self.size, self.index.get
+        size + 1 + k for the k-th of the letters that are no piece, which are returned.
+
+        All substrings of one length are looked up at once, by 64-bit rolling hashes."""
+        n, none = len(words[0]), self.size
         k = min(n, self.longest)
-        other: dict[str, int] = {}
+        codes = np.array(words, dtype=f"<U{n}").view("<u4").reshape(len(words), n)
         out = np.full((len(words), n, k), none, dtype=np.int32)
-        for w, word in enumerate(words):
-            row = []
-            for i in range(n):
-                ends = range(i + 1, min(n, i + k) + 1)
-                row += [get(word[i:e], none) for e in ends]
-                row += [none] * (k - len(ends))
-                if row[i * k] == none:
-                    row[i * k] = none + 1 + other.setdefault(word[i], len(other))
-            out[w] = np.array(row, dtype=np.int32).reshape(n, k)
-        return out, list(other)
+        h = np.zeros((len(words), n), dtype=np.uint64)
+        for m in range(1, k + 1):
+            h = h[:, : n - m + 1] * HASH + codes[:, m - 1 :]
+            keys, ids = self.by_length[m - 1]
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+                out[:, : n - m + 1, m - 1] = np.where(keys[at] == h, ids[at], none)
+        missing = out[:, :, 0] == none
+        letters_, which = np.unique(codes[missing], return_inverse=True)
+        out[:, :, 0][missing] = none + 1 + which
+        return out, [chr(c) for c in letters_]
 
     def table(self, p: np.ndarray, other: list[str]) -> np.ndarray:
         """Probabilities by the numbers of lattice(): p[piece, ...], none, and products over the bytes of other letters."""
@@ -77,9 +93,10 @@ def _by_length(words: list[str]) -> Iterator[list[int]]:
     groups = defaultdict(list)
     for i, w in enumerate(words):
         groups[len(w)].append(i)
-    for at in groups.values():
-        for i in range(0, len(at), 4096):
-            yield at[i : i + 4096]
+    for n, at in groups.items():
+        step = max(16, 40_000 // n)
+        for i in range(0, len(at), step):
+            yield at[i : i + step]
 
 
 def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
@@ -197,12 +214,19 @@ def learn(docs: DataFrame, path: str, scratch: Scratch, rounds: int = ROUNDS) ->
 
         def run(batches: Iterator[pa.RecordBatch], p: np.ndarray = p) -> Iterator[pa.RecordBatch]:
             vocab, total = pieces_of(path), np.zeros((len(languages), p.shape[0]))
+            held: dict[str, Counter] = defaultdict(Counter)
+
+            def add(least: int) -> None:
+                for x in [x for x, c in held.items() if len(c) >= least]:
+                    c = held.pop(x)
+                    total[at[x]] += expected(vocab, list(c), np.fromiter(c.values(), dtype=float, count=len(c)), p[:, at[x]])
+
             for b in batches:
-                lang, word, n = (c.to_pylist() for c in b.columns)
-                for x in set(lang):
-                    rows = [(w, k) for y, r, k in zip(lang, word, n, strict=True) if y == x and (w := letters(r))]
-                    if rows:
-                        total[at[x]] += expected(vocab, [w for w, _ in rows], np.array([k for _, k in rows], dtype=float), p[:, at[x]])
+                for x, r, k in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    if w := letters(r):
+                        held[x][w] += k
+                add(GATHER)  # words of one length are scored together, so the more at once the better
+            add(1)
             i, j = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["l", "piece", "n"])
 
