@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Terms too common to narrow a lexical query.
 STOP_TERMS = frozenset(
@@ -58,7 +59,7 @@ def normal_name(raw: str) -> str:
     return unicodedata.normalize("NFC", text.lower())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _normal_name(names: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
     return names.map(lambda n: None if n is None else known[n] if n in known else known.setdefault(n, normal_name(n)))

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -64,7 +65,7 @@ def maxsim_batches(query: Sequence[Sequence[float]]):
     """The same as a pandas UDF over flattened matrices: one matrix product a document, for wide matrices."""
     q = np.asarray(query, dtype=np.float32)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def score(flat: pd.Series) -> pd.Series:
         return flat.map(lambda x: float((q @ np.asarray(x, dtype=np.float32).reshape(-1, q.shape[1]).T).max(axis=1).sum()) if x is not None and len(x) else None)
 
@@ -75,18 +76,18 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def encode(vectors: pd.Series) -> pd.Series:
     """float32, little-endian."""
     return vectors.map(lambda v: None if v is None else np.asarray(v, dtype="<f4").tobytes())
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def decode(blobs: pd.Series) -> pd.Series:
     return blobs.map(lambda b: None if b is None else np.frombuffer(b, dtype="<f4").astype(np.float32))
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def mean_pool(flat: pd.Series, tokens: pd.Series) -> pd.Series:
     """Mean of the rows of a flattened matrix of so many tokens."""
     return pd.Series([None if f is None or not t else np.asarray(f, dtype=np.float32).reshape(int(t), -1).mean(axis=0) for f, t in zip(flat, tokens, strict=True)])
