@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import zlib
+from collections import ChainMap
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,20 +17,26 @@ from .common import Scratch
 END = 0
 #: Ids in a block; a block holds whole documents, so a longer document is a block of its own.
 BLOCK_IDS = 1 << 18
-#: Distinct pieces of text that a worker keeps the ids of. Beyond it the store starts anew; results don't depend on it.
-STORE = 150_000
+#: Distinct pieces of text that a worker keeps the ids of, some 200 bytes each. Beyond it the store starts
+#: anew; results don't depend on it.
+STORE = 1_200_000
 
-#: White space beyond ASCII, or white space next to white space: the text is then cut before whole runs only, or not at all.
-_FOREIGN = regex.compile(r"[\x1c-\x1f]|[^\S \t\n\x0b\x0c\r]")
-_RUNS = regex.compile(r"[ \t\n\x0b\x0c\r]{2}")
-_CUT = regex.compile(r"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
+#: Marks, within this module, a piece that does not begin with a space.
+BARE = "\x01"
+#: Texts that hold one of these, or other white space than ASCII's, are cut less finely.
+_RARE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", BARE)
+_FOREIGN = re.compile(r"[^\S \t\n\x0b\x0c\r]")
+_CUT = re.compile(r"[ \t\n\x0b\x0c\r]*[^ \t\n\x0b\x0c\r]+|[ \t\n\x0b\x0c\r]+")
+_PLAIN = re.compile(r"[^\x01 \t\n\x0b\x0c\r]+")
+_STOP = re.compile(r"(?<=[^\W_])[.,](?=[ \n]|\Z)")
 
 
 class Encoder:
     """Whole-text ids of a byte-level BPE file of the tokenizers library, each distinct piece encoded once.
 
-    The file's pre-tokenizer starts a new token before every run of white space, and merges never cross its
-    tokens. So a text may be cut before each run, and the ids of the pieces, joined, are those of the text.
+    The file's pre-tokenizer starts a new token before every run of white space, at a newline that stands alone
+    and after it, and between letters and marks; merges never cross its tokens. So a text may be cut
+    there, and the ids of the pieces, joined, are those of the whole text.
     """
 
     def __init__(self, path: str):
@@ -44,39 +51,41 @@ class Encoder:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str]:
-        if _FOREIGN.search(text):
-            return [text]
-        if _RUNS.search(text):
-            return _CUT.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *(" " + x for x in rest)] if first else [" " + x for x in rest]
+        """The text as pieces: after BARE as they are, others with a space before them."""
+        if any(x in text for x in _RARE) or not text.isascii() and _FOREIGN.search(text):
+            if _FOREIGN.search(text):
+                return [BARE + text]
+            return [BARE + x for x in _CUT.findall(text)]
+        spaced = _STOP.sub(f" {BARE}\\g<0>", text).replace("\n", f" {BARE}\n {BARE}")
+        return (BARE + spaced).split(" ")
 
     def _learn(self, wanted: list[str]) -> None:
         # words go to the library many at a time, a line each: a newline before a space is a token by itself
-        plain = [p for p in wanted if p[:1] == " " and not any(c in p for c in "\n\t\r\x0b\x0c") and p.count(" ") == 1 and len(p) > 1]
-        sep = self.newline[0] if len(self.newline) == 1 else None
-        if sep is not None:
-            for i in range(0, len(plain), 2000):
-                part = plain[i : i + 2000]
-                ids = np.array(self.tok.encode("\n".join(["", *part]), add_special_tokens=False).ids, dtype="<u4")
-                at = np.flatnonzero(ids == sep)
-                if len(at) == len(part):
-                    ends = [*at[1:], len(ids)]
-                    self.store.update((p, ids[s + 1 : e].tobytes()) for p, s, e in zip(part, at, ends, strict=True))
+        plain = [p for p in wanted if _PLAIN.fullmatch(p)] if len(self.newline) == 1 else []
+        for i in range(0, len(plain), 4000):
+            part = plain[i : i + 4000]
+            [got] = self.tok.encode_batch_fast(["\n " + "\n ".join(part)], add_special_tokens=False)
+            ids = np.array(got.ids, dtype="<u4")
+            at = 4 * np.flatnonzero(ids == self.newline[0])
+            if len(at) == len(part):
+                raw, ends = ids.tobytes(), [*at[1:].tolist(), 4 * len(ids)]
+                self.store.update((p, raw[s + 4 : e]) for p, s, e in zip(part, at.tolist(), ends, strict=True))
         rest = [p for p in wanted if p not in self.store]
-        self.store.update(zip(rest, self._batch(rest), strict=True))
+        self.store.update(zip(rest, self._batch([p[1:] if p[:1] == BARE else " " + p for p in rest]), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; none for null and empty texts."""
         cut = [self.pieces(t) if t else [] for t in texts]
         if len(self.store) > STORE:
             self.store.clear()
-        wanted = {p for c in cut for p in c}
-        short = [p for p in wanted if len(p) <= 64 and p not in self.store]
-        self._learn(short)
-        long = [p for p in wanted if len(p) > 64]
-        known = self.store | dict(zip(long, self._batch(long), strict=True)) if long else self.store
-        return [b"".join([known[p] for p in c]) for c in cut]
+        wanted = set().union(*cut) - self.store.keys()
+        long = {p for p in wanted if len(p) > 64}
+        self._learn(list(wanted - long))
+        if not long:
+            get = self.store.__getitem__
+        else:  # whole texts and the like are not worth keeping
+            get = ChainMap(dict(zip(long, self._batch([p[1:] if p[:1] == BARE else " " + p for p in long]), strict=True)), self.store).__getitem__
+        return [b"".join(map(get, c)) for c in cut]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -266,8 +275,11 @@ def write_tokens(docs: DataFrame, path: str, end: int = END, vocabulary: int | N
     ids_of = np.lexsort((np.arange(vocabulary), -counts)).astype("<u4")
     rank = np.empty(vocabulary, dtype="<u4")
     rank[ids_of] = np.arange(vocabulary, dtype="<u4")
-    coded = raw.mapInArrow(_coder(rank), CODED).withColumn("_tie", F.monotonically_increasing_id())
+    # written, as a range shuffle reads its input twice
+    coded = scratch.write(raw.mapInArrow(_coder(rank), CODED), "coded", compression="uncompressed")
+    scratch.drop("raw")
+    coded = coded.withColumn("_tie", F.monotonically_increasing_id())
     ordered = coded.repartitionByRange(F.col("doc_id").asc_nulls_first(), "_tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "_tie").drop("_tie")
     files = scratch.write(ordered.mapInArrow(_blocks(block_ids), BLOCK), "files", compression="uncompressed")
-    scratch.drop("raw")
+    scratch.drop("coded")
     return TokenFiles(files, ids_of, scratch)
