@@ -6,13 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, lifecycle_queries, retrieval_queries
+from . import grain_queries, graph_queries, lifecycle_queries, retrieval_queries
 
-_PARTS = (retrieval_queries, graph_queries, lifecycle_queries)
+_PARTS = (retrieval_queries, graph_queries, lifecycle_queries, grain_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["rrf_fusion"](spark, sf_dir)
+    """The whole retrieval query over documents and embeddings."""
+    from .retrieval import document_engine
+
+    return document_engine(spark, sf_dir).query({"query": retrieval_queries.QUERY})
+
+
+QUERIES["retrieval_query"] = flagship
