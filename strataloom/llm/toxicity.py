@@ -19,7 +19,7 @@ SAMPLE = 6_000
 #: Terms of the classifier, at most, and the z value of their association with the posterior labels that they must pass.
 TERMS, Z = 2_000, 6.0
 ROUNDS = 60
-RIDGE = 1.0
+RIDGE = 0.05
 
 # Common English terms of abuse by kind, from general knowledge.
 LEXICONS: dict[str, tuple[str, ...]] = {
@@ -43,7 +43,11 @@ PATTERNS: dict[str, str] = {
     "epithet": r"\b(?:stupid|pathetic|worthless|disgusting|dumb|filthy|ugly)\s+(?:idiot|moron|loser|clown|trash|scum|fool|pig)",
     "shouting": r"!{3,}",
 }
-VOTERS = (*LEXICONS, *PATTERNS)
+#: Voters whose lexicons are mined from labelled rows: terms and word beginnings, dealt out by rank.
+MINED = 4
+#: Mined terms, at most, and documents of the labelled sample that must have one.
+MINED_TERMS, MINED_DF = 400, 5
+VOTERS = (*LEXICONS, *PATTERNS, *(f"mined {i + 1}" for i in range(MINED)))
 _WORD = re.compile(r"[^\W\d_]+")
 _VOTE = {w: 1 << i for i, words in enumerate(LEXICONS.values()) for w in words}
 _PATTERNS = [(re.compile(p), 1 << len(LEXICONS) + i) for i, p in enumerate(PATTERNS.values())]
@@ -51,14 +55,22 @@ _PATTERNS = [(re.compile(p), 1 << len(LEXICONS) + i) for i, p in enumerate(PATTE
 _GATE = re.compile(r"!!!|shut up|get lost|go away|drop dead|piss off|screw you")
 
 
-def votes(text: str | None) -> int:
-    """Bit i is set if voter i fires on the whole text. len(VOTERS) is 16, so there are 65,536 patterns at most."""
+def features(text: str | None) -> set[str]:
+    """Lower-cased words, and after `^` their first four and five letters, as insults are inflected."""
+    words = set(_WORD.findall(text.lower())) if text else set()
+    return words | {"^" + w[:4] for w in words if len(w) > 4} | {"^" + w[:5] for w in words if len(w) > 5}
+
+
+def votes(text: str | None, mined: dict[str, int] | None = None) -> int:
+    """Bit i is set if voter i fires on the whole text. len(VOTERS) is 20, so there are some million patterns at most."""
     if not text:
         return 0
-    low = text.lower()
+    low, has = text.lower(), features(text)
     out = 0
-    for w in _VOTE.keys() & set(_WORD.findall(low)):
+    for w in _VOTE.keys() & has:
         out |= _VOTE[w]
+    for w in mined.keys() & has if mined else ():
+        out |= mined[w]
     if out or _GATE.search(low):
         for p, bit in _PATTERNS:
             if p.search(low):
@@ -166,13 +178,13 @@ class Classifier:
         known, bias = weight.keys(), self.bias
 
         def score(text: str | None) -> float:
-            x = bias + (sum(weight[w] for w in sorted(known & set(_WORD.findall(text.lower())))) if text else 0.0)
+            x = bias + sum(weight[w] for w in sorted(known & features(text)))
             return float(1 / (1 + np.exp(-min(max(x, -50.0), 50.0))))
 
         return score
 
 
-def fit_classifier(rows: list[tuple[list[int], float, float]], terms: list[str], steps: int = 300) -> Classifier:
+def fit_classifier(rows: list[tuple[list[int], float, float]], terms: list[str], steps: int = 800) -> Classifier:
     """Ridge logistic regression on (term numbers, posterior label, weight), by gradient steps with momentum."""
     k = len(terms)
     flat = np.array([t for r in rows for t in r[0]], dtype=np.int64)
@@ -196,23 +208,68 @@ class Toxicity:
         self.label_model, self.classifier = label_model, classifier
 
 
+def _unit(o: Column) -> Column:
+    return F.pmod(o, F.lit(1 << 30)) / float(1 << 30)
+
+
+def _telling(sample: DataFrame, least: int, most: int) -> list[str]:
+    """Features of sample(target, words) whose association with the target passes Z, the strongest first."""
+    mean = sample.agg(F.avg("target")).first()[0]
+    if mean is None:
+        return []
+    stats = sample.select("target", F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("target").alias("hits")).filter(F.col("df") >= least)
+    z = (F.col("hits") - F.col("df") * mean) / F.sqrt(F.col("df") * F.lit(max(mean * (1 - mean), 1e-9)))
+    return [(r["term"], r["z"]) for r in stats.withColumn("z", z).filter(F.abs("z") > Z).orderBy(F.abs("z").desc(), "term").limit(most).collect()]
+
+
+def _worded(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """The columns `keep` and the features of _text."""
+    schema = rows.select(*keep).selectExpr("*", "cast(null as array<string>) words").schema
+    slot = len(keep)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:slot], pa.array([sorted(features(t)) for t in b.column(slot).to_pylist()], pa.list_(pa.string()))], names=[*keep, "words"])
+
+    return rows.select(*keep, "_text").mapInArrow(run, schema)
+
+
+def mine(train: DataFrame, known: DataFrame, scratch: Scratch) -> dict[str, int]:
+    """Bits of the mined voters by term: the features that mark labelled rows as toxic.
+
+    From a sample of SAMPLE rows of each label, in the mean, by a hash of the id: ids alone are joined with labels, and
+    only the sample's texts are read. A labelled id's rows all count.
+    """
+    marked = train.select("doc_id").join(known, "doc_id").withColumn("o", F.xxhash64(F.col("doc_id").cast("string")))
+    sizes = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    share = F.lit(0.0)
+    for label, n in sizes.items():
+        share = F.when(F.col("label") == label, min(1.0, SAMPLE / n)).otherwise(share)
+    ids = scratch.write(marked.filter(_unit(F.col("o")) < share).select("doc_id", F.col("label").cast("double").alias("target")).distinct(), "mined-ids")
+    rows = train.join(F.broadcast(ids), "doc_id")  # some 2 * SAMPLE ids
+    sample = scratch.write(_worded(rows, ["target"]), "mined-sample")
+    terms = [t for t, z in _telling(sample, MINED_DF, MINED_TERMS) if z > 0]
+    return {t: 1 << len(LEXICONS) + len(PATTERNS) + i % MINED for i, t in enumerate(terms)}
+
+
 def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Toxicity:
     """Learned from rows of docs(doc_id, _text) that are not held out.
 
-    Votes are taken of all of them and come to the driver as counts of patterns (65,536 at most, by label).
-    The classifier is fitted on a bounded sample of posterior-labelled rows.
+    Votes are taken of all of them and come to the driver as counts of patterns (2^20 at most, by label; those
+    that occur are few). Mined lexicons and the classifier come from bounded samples of labelled rows.
     """
+    train = docs.filter(~held_out(F.col("doc_id")))
+    known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("a"), F.max("toxic").alias("b")).filter("a = b").select("doc_id", F.col("a").alias("label"))
+    mined = mine(train, known, scratch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = pa.array([votes(t) for t in b.column(1).to_pylist()], pa.int32())
+            got = pa.array([votes(t, mined) for t in b.column(1).to_pylist()], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), got, b.column(2)], names=["doc_id", "votes", "o"])
 
-    train = docs.filter(~held_out(F.col("doc_id")))
     order = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce(F.col("_text"), F.lit("")))
     voted = scratch.write(
         train.select("doc_id", "_text", order.alias("o")).mapInArrow(run, train.select("doc_id", F.lit(0).alias("votes"), F.lit(0).cast("long").alias("o")).schema), "votes")
-    known = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.min("toxic").alias("a"), F.max("toxic").alias("b")).filter("a = b").select("doc_id", F.col("a").alias("label"))
     marked = voted.join(known, "doc_id", "left").select("votes", F.coalesce("label", F.lit(-1)).cast("int").alias("label"), "o")
     counts = marked.groupBy("votes", "label").agg(F.count("*").alias("n")).toArrow()
     pattern, label, n = (counts.column(c).to_numpy().astype(np.int64) for c in ("votes", "label", "n"))
@@ -228,26 +285,17 @@ def learn(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Toxicity:
         share[side] = (min(1.0, SAMPLE / size) if size else 1.0)
     pairs = scratch.spark.createDataFrame([(int(p), float(x)) for p, x in post.items()], "votes int, posterior double")
     cut = F.when(F.col("posterior") >= 0.5, F.lit(share[1])).otherwise(F.lit(share[0]))
-    unit = F.pmod("o", F.lit(1 << 30)) / float(1 << 30)
+    unit = _unit(F.col("o"))
     chosen = train.withColumn("o", order).filter(unit < max(share.values()))
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = b.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([
-                pa.array([votes(t) for t in text], pa.int32()), b.column(1),
-                pa.array([sorted(set(_WORD.findall((t or "").lower()))) for t in text], pa.list_(pa.string()))], names=["votes", "o", "words"])
-
-    worded = chosen.select("_text", "o").mapInArrow(sets, "votes int, o long, words array<string>")
-    sample = scratch.write(worded.join(F.broadcast(pairs), "votes").filter(unit < cut).withColumn("weight", 1 / cut), "sample")
-    mean, rows = sample.agg(F.avg("posterior"), F.count("*")).first()
-    if not rows:
+    worded = _worded(chosen, ["o"])
+    kept = voted.join(F.broadcast(pairs), "votes").filter(unit < cut).select("o", "posterior", (1 / cut).alias("weight")).distinct()
+    kept = scratch.write(kept, "sample-ids")  # 2 * SAMPLE rows in the mean
+    sample = scratch.write(worded.join(F.broadcast(kept), "o"), "sample")
+    if not sample.limit(1).count():
         return Toxicity(model, Classifier([], np.zeros(0), float(np.log(model.prior / (1 - model.prior)))))
-    # association of a term with the posterior label, each sampled row counting once
-    each = sample.select("posterior", F.explode("words").alias("term"))
-    stats = each.groupBy("term").agg(F.count("*").alias("df"), F.sum("posterior").alias("hits")).filter("df >= 3")
-    z = (F.col("hits") - F.col("df") * mean) / F.sqrt(F.col("df") * F.lit(max(mean * (1 - mean), 1e-9)))
-    terms = [r["term"] for r in stats.withColumn("z", z).filter(F.abs("z") > Z).orderBy(F.abs("z").desc(), "term").limit(TERMS).collect()]
+    # each sampled row counts once
+    terms = [t for t, _ in _telling(sample.withColumn("target", F.col("posterior")), 3, TERMS)]
     at = scratch.spark.createDataFrame([(t, i) for i, t in enumerate(terms)], "term string, i int")
     # 2 * SAMPLE rows in the mean, each with the numbers of its terms
     known_terms = sample.select("o", "posterior", "weight", F.explode_outer("words").alias("term")).join(F.broadcast(at), "term", "left")

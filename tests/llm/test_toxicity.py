@@ -20,8 +20,12 @@ def corpus(n=1500):
         words = [rng.choice(base) + rng.choice(["", "a", "er", "ing"]) for _ in range(rng.randrange(5, 80))]
         toxic = rng.random() < 0.15
         if toxic:
-            for w in rng.sample(["idiot", "scum", "worthless", "zorbit", "clown", "loser"], rng.randrange(2, 4)):
-                words.insert(rng.randrange(len(words)), w)
+            if rng.random() < 0.5:
+                for w in rng.sample(["idiot", "scum", "worthless", "zorbit", "clown", "loser"], rng.randrange(2, 4)):
+                    words.insert(rng.randrange(len(words)), w)
+            else:  # insults of another language, known from labels alone, with changing ends
+                for _ in range(3):
+                    words.insert(rng.randrange(len(words)), rng.choice(["vloska", "brunti"]) + rng.choice(["a", "en", "is", "o", "ur"]))
         rows.append((i, " ".join(words), "x", 1))
         if rng.random() < 0.5:
             labels.append((i, int(toxic)))
@@ -41,7 +45,7 @@ def test_held_out(scored):
     rows, _, _, got = scored
     assert len(got) == len(rows) + 5
     by = {r["doc_id"]: r for r in got}
-    toxic = {"idiot", "scum", "worthless", "zorbit", "clown", "loser"}
+    toxic = {"idiot", "scum", "worthless", "zorbit", "clown", "loser"} | {w for _, t, *_ in rows for w in t.split() if w.startswith(("vloska", "brunti"))}
     right = held = 0
     for d, text, *_ in rows:
         r = by[d]
