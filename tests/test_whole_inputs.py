@@ -42,3 +42,12 @@ def test_overlap_of_all_annotations(spark, put):
         members[w].append(f"{k}:{hashlib.md5(ORDERS[k - 1][2].encode()).hexdigest()}")
     hashes = {(w, len(m), hashlib.sha256(",".join(m).encode()).hexdigest()) for w, m in members.items()}
     assert {tuple(r) for r in QUERIES["cohort_grouping"](spark, d).select("window_id", "n_members", "input_hash").collect()} == hashes
+
+
+def test_seeds_of_all_documents(spark, put):
+    d = put("documents", [(i, "\n\n".join(f"words {i} {j}" for j in range(3))) for i in range(1, 13)], "doc_id long, text string")
+    admitted = QUERIES["passage_admission"](spark, d).collect()
+    assert {(r["query_id"], int(r["source_id"])) for r in admitted} == {(i % 3, i) for i in range(1, 13)}
+    units = {f"{i}:{j:06}" for i in range(1, 13) for j in range(1, 4)}
+    assert {r["unit_id"] for r in QUERIES["evidence_pack"](spark, d).collect()} == units
+    assert {r["unit_id"] for r in QUERIES["passage_provenance"](spark, d).collect()} == units
