@@ -59,7 +59,7 @@ def cohort_grouping(spark: SparkSession, d: str) -> DataFrame:
 
 
 def single_window_of_unit(spark: SparkSession, d: str) -> DataFrame:
-    return annotations.only_window(_windows(spark, d).filter("window_id < 40").groupBy("window_id").agg(F.collect_set("unit_id").alias("unit_ids")))
+    return annotations.only_window(_windows(spark, d).groupBy("window_id").agg(F.collect_set("unit_id").alias("unit_ids")))
 
 
 def evidence_text_by_type(spark: SparkSession, d: str) -> DataFrame:

@@ -51,3 +51,25 @@ def test_seeds_of_all_documents(spark, put):
     units = {f"{i}:{j:06}" for i in range(1, 13) for j in range(1, 4)}
     assert {r["unit_id"] for r in QUERIES["evidence_pack"](spark, d).collect()} == units
     assert {r["unit_id"] for r in QUERIES["passage_provenance"](spark, d).collect()} == units
+
+
+def test_guard_of_all_parses(spark, put):
+    kinds = ["error", "purchase", "click", "view"]
+    rows = [(i, i % 9, kinds[i * 7 % 4] if i % 9 < 6 else kinds[i % 9 - 5], 30.0 if i % 5 else 10.0, f"2024-01-01 00:00:{i:02}") for i in range(60)]
+    d = put("events", spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts string").selectExpr("event_id", "user_id", "event_type", "value", "cast(ts as timestamp) ts").collect(),
+            "event_id long, user_id long, event_type string, value double, ts timestamp")
+    of = defaultdict(set)
+    for _, user, kind, value, _ in rows:
+        of[user].add("gate" if kind == "click" and value <= 20 else "building" if kind == "view" else "settled")
+    want = {(u, next(g for g in ("gate", "settled", "building") if g in s)) for u, s in of.items()}
+    assert {tuple(r) for r in QUERIES["retry_guard"](spark, d).select("source_id", "guard").collect()} == want
+
+
+def test_window_of_unit_over_all_windows(spark, put):
+    d = put("lineitem", LINEITEM + [(3, 40, 1), (503, 40, 2), (3, 41, 1), (120, 41, 1), (499, 42, 1)], LINES)
+    of = defaultdict(set)
+    for order, part, _ in [*LINEITEM, (3, 40, 1), (503, 40, 2), (3, 41, 1), (120, 41, 1), (499, 42, 1)]:
+        of[part % 900].add(order % 500)
+    want = {(u, min(w) if len(w) == 1 else None) for u, w in of.items()}
+    assert {(40, 3), (41, None), (42, 499)} <= want
+    assert {tuple(r) for r in QUERIES["single_window_of_unit"](spark, d).select("unit_id", "window_id").collect()} == want
