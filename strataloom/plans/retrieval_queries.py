@@ -53,7 +53,7 @@ def lexical_scoped(spark: SparkSession, d: str) -> DataFrame:
 
 
 def lexical_postings(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.postings(T.chunks(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("uses")).filter("df >= 20")
+    return lexical.postings(T.chunks(spark, d)).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("uses"))
 
 
 def dense_cosine_topk(spark: SparkSession, d: str) -> DataFrame:

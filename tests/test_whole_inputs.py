@@ -73,3 +73,9 @@ def test_window_of_unit_over_all_windows(spark, put):
     want = {(u, min(w) if len(w) == 1 else None) for u, w in of.items()}
     assert {(40, 3), (41, None), (42, 499)} <= want
     assert {tuple(r) for r in QUERIES["single_window_of_unit"](spark, d).select("unit_id", "window_id").collect()} == want
+
+
+def test_postings_of_rare_terms(spark, put):
+    d = put("documents", [(i, "s", f"common word{i} word{i}") for i in range(25)], "doc_id long, source string, text string")
+    want = {("common", 25, 25)} | {(f"word{i}", 1, 2) for i in range(25)}
+    assert {tuple(r) for r in QUERIES["lexical_postings"](spark, d).select("term", "df", "uses").collect()} == want
