@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -93,14 +93,28 @@ def canonical_json_hash(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", "json", F.sha2("json", 256).alias("hash"))
 
 
+def _runs(words: Column, n: Column | int) -> Column:
+    """Distinct runs of n words, joined by spaces; none if there are fewer."""
+    n = F.lit(n) if isinstance(n, int) else n
+    at = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " ")))
+
+
 def fuzzy_grounding(spark: SparkSession, d: str) -> DataFrame:
-    """Each benchmark item, with its third word left out, against the documents that share its last four words."""
-    last = F.array_join(F.slice(F.split("text", r"\s+"), -4, 4), " ")
-    b = table(spark, d, "benchmark").filter(F.size(F.split("text", r"\s+")) >= 8).select("item_id", F.regexp_replace("text", r"^(\S+\s+\S+)\s+\S+", "$1").alias("quote"), last.alias("grams"))
+    """Each benchmark item, with its third word left out, against the documents that share a run of its words.
+
+    Words are lower-cased letters and digits. A run is half the quote's words, four at most and one at least, so that a change of
+    any one word leaves a run whole; a document that shares no run is not looked at.
+    """
+    words = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    b = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", r"^(\S+\s+\S+)\s+\S+", "$1").alias("quote")).withColumn("w", words("quote"))
+    b = b.withColumn("n", F.least(F.lit(4), F.greatest(F.lit(1), F.floor(F.size("w") / 2).cast("int"))))
+    of = b.select("item_id", "quote", F.explode(_runs(F.col("w"), F.col("n"))).alias("run"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    w = F.split("text", r"\s+")
-    four = F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - 4, F.lit(0))), lambda i: F.concat_ws(" ", *(F.get(w, i + j) for j in range(4))))
-    hit = docs.select("doc_id", F.explode(F.array_distinct(four)).alias("grams")).join(b, "grams").select("doc_id", "item_id", "quote")
+    lengths = [r["n"] for r in b.select("n").distinct().collect()]  # four at most
+    runs = F.array_distinct(F.concat(F.array().cast("array<string>"), *(_runs(F.col("w"), n) for n in lengths)))
+    near = docs.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(runs).alias("run"))
+    hit = near.join(of, "run").select("doc_id", "item_id", "quote").distinct()
     return hit.join(docs, "doc_id").select("doc_id", "item_id", annotations.grounded_col("text", "quote").alias("grounded"))
 
 

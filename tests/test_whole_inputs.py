@@ -79,3 +79,13 @@ def test_postings_of_rare_terms(spark, put):
     d = put("documents", [(i, "s", f"common word{i} word{i}") for i in range(25)], "doc_id long, source string, text string")
     want = {("common", 25, 25)} | {(f"word{i}", 1, 2) for i in range(25)}
     assert {tuple(r) for r in QUERIES["lexical_postings"](spark, d).select("term", "df", "uses").collect()} == want
+
+
+def test_grounding_of_changed_and_short_items(spark, put):
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima"
+    put("benchmark", [(1, item), (2, "quebec romeo sierra tango")], "item_id long, text string")
+    texts = [f"before {item} after", f"before {item.replace('lima', 'limo')} after", item.upper(), item.replace("kilo lima", "kilo, lima!"), item.replace("hotel", "hotol"),
+             "the Quebec, Romeo sierra; tango here", "nothing of it"]
+    d = put("documents", list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in QUERIES["fuzzy_grounding"](spark, d).collect() if r["grounded"]}
+    assert got == {(i, 1) for i in range(5)} | {(5, 2)}
