@@ -75,6 +75,38 @@ KNOWN: tuple[tuple[str, str], ...] = (
     ("GPL-3.0-or-later", GPL3_NOTICE), ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
 )
 
+#: Further short lines.
+LINES: tuple[tuple[str, str], ...] = (("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),)
+
+# Digests of the canonical full texts, whole and up to the end of their terms (without and with that line).
+DIGESTS: tuple[tuple[str, str], ...] = (
+    ("Apache-2.0", "045649cdaf85384ba827242062f2f3b36409835c98d297e25177cb1faf7c2847"),
+    ("Apache-2.0", "108490d21e2d3edc9128233e48fabc169818d0c7c5f0bbdd58231a367d2d6c87"),
+    ("Apache-2.0", "6ed232a1aaf66db92997c53c056b853f2a64b9f74585489f71cbae1bb4d6d166"),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"),
+    ("GPL-1.0", "2b62a0899e7031347a9577241eb9b504d0eafb4d91b28e1f99580099701d0a1a"),
+    ("GPL-1.0", "fb6d85b04cce9e961a8ac49322a422ceed03720cc44b403f8769a1966d803f0b"),
+    ("GPL-1.0", "c4d0d6a72ff991b9d8d8b8de6b66b3ed4e1ace78a8cfb4061b2b63c98deb700b"),
+    ("GPL-2.0", "d3d1ea54d09952fcd9626a8c4c7c325e00c7f6febdc41bf004285919d6bfaa0a"),
+    ("GPL-2.0", "c2043b33557c653c50c7526295a77726952cb3ecaffc4bfd33a9d0bd36a4fb38"),
+    ("GPL-2.0", "ddaa86ecaccd4e34457b7bf4dc7686fa86c10d64951e30e8968efc41b4fba4f1"),
+    ("GPL-3.0", "68ca42869e9a3e25843be66c6f296ce2b1f3629ac71d77465db0636dc8781c06"),
+    ("GPL-3.0", "df20d6920a2688bef2bb6fb95fc7472aa40799a7027c0ce468190c67658a9656"),
+    ("GPL-3.0", "71ebfd10fca4514433d163174bf2f5e27e4829ad059834ac56dae1098f4ebe49"),
+    ("LGPL-2.0", "1862ecc2c3c5e3b9e88481e95603c88e089c43e9d5702b2ec01391491b606a9e"),
+    ("LGPL-2.0", "e29dcc167f8a363847b3c4b0a7ced67d7a2bb7b9112a3311b6877a9c0570d635"),
+    ("LGPL-2.0", "b927da98cda221c8fbc56dfd2b6b2e80f6df686482d12dbac6b79da1ce6bb98a"),
+    ("LGPL-2.1", "ac0856eb11aebb30c08445444c942c1ddcde9d0a0447c9ed2b8a19ab7d51eba5"),
+    ("LGPL-2.1", "2858f5a00f6672bd47f63b69b9bf4e1bc31f3541b08a5a263e59d9b384f72fdc"),
+    ("LGPL-2.1", "2a9689b90bf823adea3df9024818d21d6041c74f3f12ab46ac5ac4d86f654b2e"),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"),
+    ("MPL-1.1", "1cfb6cca26abe2169c9c61164807107b2d4a0b64955a2cf2de46fad3483acda1"),
+    ("MPL-2.0", "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9"),
+    ("GFDL-1.2", "8446e2329e3fe2b35501056164a645d74fef33dc1b8a2a132629bf1935fa72e7"),
+    ("GFDL-1.3", "961b6d8afa12e353079f8676ad28084c800a46123e76f7f4f7e7f81df82289dc"),
+    ("Artistic-1.0-Perl", "64e91f5cc481723b420f8e1ecf131ec7eba02da96cf0a78bb4b764fb30984f7a"),
+)
+
 
 def canonical(text: Column) -> Column:
     """Lower case; copyright lines out; runs of anything but letters and digits as one space; one spelling; trimmed.
@@ -98,12 +130,12 @@ def digests(texts: DataFrame, keep: list[str], text: str) -> DataFrame:
     return texts.select(*keep, canonical(F.col(text)).alias("_canon")).select(*keep, F.sha2(F.nullif("_canon", F.lit("")), 256).alias("digest"))
 
 
-def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
-    rows = spark.createDataFrame(list(texts), "license_id string, text string")
-    return digests(rows, ["license_id"], "text").groupBy("digest").agg(F.min("license_id").alias("license_id"))
+def known(spark: SparkSession, texts: tuple[tuple[str, str], ...] = KNOWN + LINES, full: tuple[tuple[str, str], ...] = DIGESTS) -> DataFrame:
+    rows = digests(spark.createDataFrame(list(texts), "license_id string, text string"), ["license_id"], "text")
+    return rows.union(spark.createDataFrame(list(full), "license_id string, digest string")).groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
-def scan(docs: DataFrame, licences: tuple[tuple[str, str], ...] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, licences: tuple[tuple[str, str], ...] = KNOWN + LINES) -> DataFrame:
     """doc_id, digest and license_id (null for none) of every row of docs(doc_id, text), which must be a licence as a whole.
 
     Null texts, and texts without a letter or digit, have no digest and match nothing. Two licences of one digest
@@ -117,7 +149,7 @@ def scan(docs: DataFrame, licences: tuple[tuple[str, str], ...] = KNOWN) -> Data
 
 
 def oracle(texts: tuple[tuple[str, str], ...] = KNOWN) -> str:
-    """The same as DuckDB SQL."""
+    """The same as DuckDB SQL, over `texts` alone."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
 
     def canon(c: str) -> str:
