@@ -52,7 +52,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 _VOTE = {w: 1 << i for i, words in enumerate(LEXICONS.values()) for w in words}
 _PATTERNS = [(re.compile(p), 1 << len(LEXICONS) + i) for i, p in enumerate(PATTERNS.values())]
 #: Every pattern needs one of these somewhere; most texts have none, and are spared the search.
-_GATE = re.compile(r"!!!|shut up|get lost|go away|drop dead|piss off|screw you")
+_GATE = re.compile(r"!!!|shut up|get lost|go away|drop dead|piss off|screw you|idiot|moron|loser|clown|stupid|pathetic|worthless|disgusting|trash|scum|dumb|filthy|ugly")
 
 
 def features(text: str | None) -> set[str]:
