@@ -18,7 +18,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def whole():
     tok = Tokenizer.from_file(PATH)
-    tok.encode_special_tokens = True
     return lambda t: tok.encode(t or "", add_special_tokens=False).ids
 
 
@@ -58,6 +57,26 @@ def test_files(spark, whole):
     assert all(back[d] == [*whole(t), 0] for d, t, _ in rows)
 
 
+def test_special_tokens_as_the_library_reads_them(whole):
+    enc = tokens.Encoder(PATH)
+    assert enc.by_words
+    for t in ("a <|endoftext|> b", "<|endoftext|>", "x.\n<|endoftext|>y, z", "  <|endoftext|>  "):
+        assert np.frombuffer(enc.encode([t])[0], "<u4").tolist() == whole(t)
+    assert np.frombuffer(enc.encode(["a <|endoftext|> b"])[0], "<u4").tolist() == [64, 220, 50256, 275]
+
+
+def test_another_file_gets_whole_texts():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, tok = tokens.Encoder(path), Tokenizer.from_file(path)
+    texts = ["Some Words, here.", None, "", "two\nlines  of it"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_ids_of_text(spark):
+    docs = spark.createDataFrame([("b", "x"), ("a", "y z")], "doc_id string, text string")
+    assert [r["doc_id"] for r in tokens.write_tokens(docs, PATH).digest().orderBy("start").collect()] == ["a", "b"]
+
+
 def test_null_ids_and_empty_tables(spark):
     docs = spark.createDataFrame([(None, "b"), (1, "a"), (None, "b")], "doc_id long, text string")
     got = tokens.write_tokens(docs, PATH).digest().collect()
