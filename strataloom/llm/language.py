@@ -16,15 +16,19 @@ from .common import Scratch
 FOLDS, HELD = 4, 2
 ROUNDS = 2
 SMOOTH = 0.05
-#: Longest stretch of letters scored at once; a longer one is scored in stretches, all of them.
-STRETCH = 200
 #: Keeps forward sums near 1: every letter's share is multiplied by it, and taken out in the logarithm.
 SCALE = 12.0
+#: Sums of longer words, and sums under SMALL, are taken again with a scale of their own at each letter, as doubles may
+#: underflow; above both, they can't lose anything that counts.
+SHORT, SMALL = 64, 1e-200
+#: Letters of a long word that are looked up at once.
+LOOKUP = 4096
+#: Languages whose probabilities are held at once, 8 bytes a language and piece; more of them take further passes.
+BLOCK = 64
 #: Words that a task counts before it passes its counts on, and words that a worker keeps scores of.
 HOLD = 250_000
 #: Words of a language that are taken together in a round.
 GATHER = 50_000
-MAX_LANGUAGES = 1_000
 START = "▁"
 #: Multiplier of the rolling hash of letters.
 HASH = np.uint64(0x9E3779B97F4A7C15)
@@ -90,9 +94,11 @@ class Pieces:
 
 
 def _by_length(words: list[str]) -> Iterator[list[int]]:
+    """Places of the words of SHORT letters at most, those of one length together."""
     groups = defaultdict(list)
     for i, w in enumerate(words):
-        groups[len(w)].append(i)
+        if len(w) <= SHORT:
+            groups[len(w)].append(i)
     for n, at in groups.items():
         step = max(16, 40_000 // n)
         for i in range(0, len(at), step):
@@ -111,14 +117,70 @@ def forward(ids: np.ndarray, p: np.ndarray) -> np.ndarray:
     return alpha
 
 
+def _stretches(pieces: Pieces, word: str, p: np.ndarray, back: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray, list[str]]]:
+    """The lattice of one word of any length, LOOKUP starts at a time: first start, piece numbers, probabilities, other letters."""
+    first = range(0, len(word), LOOKUP)
+    for a in reversed(first) if back else first:
+        ids, other = pieces.lattice([word[a : a + LOOKUP + pieces.longest - 1]])
+        yield a, ids[0, :LOOKUP], pieces.table(p, other), other
+
+
+def log_forward(pieces: Pieces, word: str, p: np.ndarray, every: bool = False) -> np.ndarray:
+    """log of the sum over all segmentations of a word of any length, [language]; of each of its prefixes if `every`.
+
+    The sums of the next prefixes are divided by the largest of them at each letter, and the logarithm of that is kept.
+    """
+    k = pieces.longest
+    ahead, scale = np.zeros((k + 1, *p.shape[1:])), np.zeros(p.shape[1:])
+    ahead[0] = 1
+    kept = [scale]
+    for _, ids, table, _ in _stretches(pieces, word, p):
+        for row in ids:
+            ahead[1 : len(row) + 1] += ahead[0] * table[row]
+            ahead[:-1] = ahead[1:]
+            ahead[-1] = 0
+            top = ahead.max(axis=0)
+            ahead /= top
+            scale = scale + np.log(top)
+            if every:
+                with np.errstate(divide="ignore"):
+                    kept.append(np.log(ahead[0]) + scale)
+    return np.stack(kept) if every else np.log(ahead[0]) + scale
+
+
+def _long_expected(pieces: Pieces, word: str, count: float, p: np.ndarray, total: np.ndarray) -> None:
+    """Adds the expected uses of each piece in one word of any length, under one language, to `total`."""
+    k, alpha = pieces.longest, log_forward(pieces, word, p, every=True)
+    ahead = np.full(k + 1, -np.inf)  # logarithms of the sums over the next suffixes
+    ahead[0] = 0
+    for a, ids, table, other in _stretches(pieces, word, p, back=True):
+        seen = np.zeros(len(table))
+        with np.errstate(divide="ignore"):
+            logs = np.log(table)
+        for i in range(len(ids) - 1, -1, -1):
+            row = ids[i]
+            q = logs[row] + ahead[: len(row)]
+            np.add.at(seen, row, np.exp(alpha[a + i] + q - alpha[-1]))
+            top = q.max()
+            ahead[1:] = ahead[:-1]
+            ahead[0] = top + np.log(np.exp(q - top).sum())
+        total += count * seen[: pieces.size]
+        for c, x in zip(other, seen[pieces.size + 1 :], strict=True):
+            np.add.at(total, pieces.byte[list(c.encode("utf-8", "surrogatepass"))], count * x)
+
+
 def log_scores(pieces: Pieces, words: list[str], p: np.ndarray) -> np.ndarray:
     """log P(word | language) of each word, [word, language], over all segmentations."""
     out = np.zeros((len(words), p.shape[1]))
     marked = [START + w for w in words]
+    alone = [i for i, w in enumerate(marked) if len(w) > SHORT]
     for at in _by_length(marked):
         ids, other = pieces.lattice([marked[i] for i in at])
         end = forward(ids, pieces.table(p, other))[-1]
-        out[at] = np.log(np.maximum(end, 1e-300)) - len(marked[at[0]]) * np.log(SCALE)
+        out[at] = np.log(np.maximum(end, SMALL)) - len(marked[at[0]]) * np.log(SCALE)
+        alone += [at[i] for i in np.flatnonzero((end < SMALL).any(axis=1))]
+    for i in alone:
+        out[i] = log_forward(pieces, marked[i], p)
     return out
 
 
@@ -126,6 +188,9 @@ def expected(pieces: Pieces, words: list[str], counts: np.ndarray, p: np.ndarray
     """Expected uses of each piece in words seen `counts` times, under the probabilities p of one language."""
     total = np.zeros(pieces.size)
     marked = [START + w for w in words]
+    for i, w in enumerate(marked):
+        if len(w) > SHORT:
+            _long_expected(pieces, w, counts[i], p, total)
     for at in _by_length(marked):
         ids, other = pieces.lattice([marked[i] for i in at])
         table = pieces.table(p, other)
@@ -135,7 +200,10 @@ def expected(pieces: Pieces, words: list[str], counts: np.ndarray, p: np.ndarray
         beta = np.zeros_like(alpha)
         beta[n] = 1
         seen = np.zeros(len(table))
-        weight = counts[at] / np.maximum(alpha[n], 1e-300)
+        sound = alpha[n] >= SMALL
+        weight = np.where(sound, counts[at] / np.maximum(alpha[n], SMALL), 0.0)
+        for i in np.flatnonzero(~sound):
+            _long_expected(pieces, marked[at[i]], counts[at[i]], p, total)
         for i in range(n - 1, -1, -1):
             for m in range(min(k, n - i)):
                 q = table[ids[:, i, m]] * power[m] * beta[i + m + 1]
@@ -148,11 +216,8 @@ def expected(pieces: Pieces, words: list[str], counts: np.ndarray, p: np.ndarray
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters, lower-cased, in stretches of STRETCH at most."""
-    out = _RUN.findall(text.lower()) if text else []
-    if out and max(map(len, out)) > STRETCH:
-        out = [r[i : i + STRETCH] for r in out for i in range(0, len(r), STRETCH)]
-    return out
+    """Runs of letters, lower-cased, whatever their length."""
+    return _RUN.findall(text.lower()) if text else []
 
 
 _pieces: dict[str, Pieces] = {}
@@ -191,29 +256,26 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 class Model:
-    def __init__(self, path: str, languages: list[str], p: np.ndarray, prior: np.ndarray):
-        self.path, self.languages, self.p, self.prior = path, languages, p, prior
+    """Languages in blocks of BLOCK, each with its probabilities [piece, language] as a broadcast."""
 
+    def __init__(self, path: str, blocks: list[tuple[list[str], object]]):
+        self.path, self.blocks = path, blocks
 
-def learn(docs: DataFrame, path: str, scratch: Scratch, rounds: int = ROUNDS) -> Model:
-    """Piece probabilities of each language by expectation-maximisation over the words of docs(lang, _text), all rows.
 
-    Words are counted once; rounds go over distinct words. What comes back to the driver is one number a
-    language and piece of the vocabulary.
-    """
-    pieces = pieces_of(path)
-    counts = scratch.write(word_counts(docs), "words")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n")).limit(MAX_LANGUAGES + 1).collect()
-    if len(totals) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    prior = {r["lang"]: 1.0 for r in totals if r["n"]}
-    languages = sorted(prior)
-    p = np.full((pieces.size, len(languages)), 1.0 / pieces.size)
+def _maximise(counts: DataFrame, path: str, languages: list[str], rounds: int) -> np.ndarray:
+    pieces, sc = pieces_of(path), counts.sparkSession.sparkContext
     at = {x: i for i, x in enumerate(languages)}
-    for _ in range(rounds if languages else 0):
-
-        def run(batches: Iterator[pa.RecordBatch], p: np.ndarray = p) -> Iterator[pa.RecordBatch]:
-            vocab, total = pieces_of(path), np.zeros((len(languages), p.shape[0]))
+    own = counts.filter(F.col("lang").isin(languages))
+    p = np.full((pieces.size, len(languages)), 1.0 / pieces.size)
+    # only pieces that words can use share what is set aside for the unseen
+    usable = np.zeros(pieces.size, dtype=bool)
+    usable[[*pieces.index.values(), *pieces.byte]] = True
+    for _ in range(rounds):
+        shared = sc.broadcast(p)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            vocab, p = pieces_of(path), shared.value
+            total = np.zeros((len(at), p.shape[0]))
             held: dict[str, Counter] = defaultdict(Counter)
 
             def add(least: int) -> None:
@@ -230,56 +292,84 @@ def learn(docs: DataFrame, path: str, scratch: Scratch, rounds: int = ROUNDS) ->
             i, j = np.nonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(total[i, j])], names=["l", "piece", "n"])
 
-        got = counts.mapInArrow(run, "l int, piece int, n double").groupBy("l", "piece").agg(F.sum(F.round("n", 6)).alias("n")).toArrow()
+        # one number a piece of the vocabulary and language of the block
+        got = own.mapInArrow(run, "l int, piece int, n double").groupBy("l", "piece").agg(F.sum(F.round("n", 6)).alias("n")).toArrow()
         seen = np.zeros_like(p)
         seen[got.column("piece").to_numpy(), got.column("l").to_numpy()] = got.column("n").to_numpy()
-        # only pieces that words can use share what is set aside for the unseen
-        usable = np.zeros(pieces.size, dtype=bool)
-        usable[[*pieces.index.values(), *pieces.byte]] = True
         p = (seen + SMOOTH * usable[:, None]) / (seen.sum(axis=0) + SMOOTH * usable.sum())
-    return Model(path, languages, p, np.array([prior[x] for x in languages]))
+        shared.unpersist()
+    return p
+
+
+def learn(docs: DataFrame, path: str, scratch: Scratch, rounds: int = ROUNDS, block: int = BLOCK) -> Model:
+    """Piece probabilities of each language by expectation-maximisation over the words of docs(lang, _text), all rows.
+
+    Words are counted once; rounds go over distinct words, `block` languages at a time, however many there are.
+    """
+    counts = scratch.write(word_counts(docs), "words")
+    languages = sorted(r["lang"] for r in counts.filter("n > 0").select("lang").distinct().collect())
+    sc = docs.sparkSession.sparkContext
+    parts = [languages[i : i + block] for i in range(0, len(languages), block)]
+    return Model(path, [(x, sc.broadcast(_maximise(counts, path, x, rounds))) for x in parts])
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep`, lang_pred and score of every row of docs(..., _text). Row-wise, no shuffle."""
-    schema = docs.select(*keep).selectExpr("*", "cast(null as string) lang_pred", "cast(null as double) score").schema
-    slot, languages = len(keep), [*model.languages]
-    path, p, prior = model.path, model.p, np.log(model.prior)
+    """The columns `keep`, lang_pred and score of every row of docs(..., _text). Row-wise, no shuffle.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = pieces_of(path)
-        row: dict[str, int] = {}
-        scores = np.zeros((0, len(languages)))
-        for b in batches:
-            texts = [words_of(t) for t in b.column(slot).to_pylist()]
-            if len(row) > HOLD:
-                row, scores = {}, scores[:0]
-            fresh = list({w for t in texts for w in t} - row.keys())
-            if fresh:
-                clean = [letters(w) for w in fresh]
-                got = np.zeros((len(fresh), len(languages)))
-                real = [i for i, w in enumerate(clean) if w]
-                if real and languages:
-                    got[real] = log_scores(vocab, [clean[i] for i in real], p)
-                row.update(zip(fresh, range(len(row), len(row) + len(fresh)), strict=True))
-                scores = np.concatenate([scores, got])
-            pred, score = [], []
-            for t in texts:
-                known = languages and any(letters(w) for w in t)
-                if not known:
-                    pred.append("und")
-                    score.append(0.0)
-                    continue
-                logs = scores[[row[w] for w in t]].sum(axis=0) + prior
-                best = int(logs.argmax())
-                pred.append(languages[best])
-                score.append(float(1 / np.exp(logs - logs[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:slot], pa.array(pred, pa.string()), pa.array(score, pa.float64())], names=[*keep, "lang_pred", "score"])
-
-    return docs.select(*keep, "_text").mapInArrow(run, schema)
-
-
-def predict_languages(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
+    A block of languages is a pass of the same stage, which hands on the best language so far, its logarithm, and the
+    sum of all languages' shares against it.
+    """
+    slot, path = len(keep), model.path
+    last = max(len(model.blocks) - 1, 0)
+    out = docs.select(*keep, F.col("_text"), F.lit(None).cast("string").alias("_best"), F.lit(0.0).alias("_log"), F.lit(0.0).alias("_sum"))
+    done = docs.select(*keep).selectExpr("*", "cast(null as string) lang_pred", "cast(null as double) score").schema
+
+    def scorer(languages: list[str], shared, final: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            vocab, p = pieces_of(path), shared.value if shared else None
+            row: dict[str, int] = {}
+            scores = np.zeros((0, len(languages)))
+            for b in batches:
+                texts = [words_of(t) for t in b.column(slot).to_pylist()]
+                if len(row) > HOLD:
+                    row, scores = {}, scores[:0]
+                fresh = list({w for t in texts for w in t} - row.keys())
+                if fresh and languages:
+                    clean = [letters(w) for w in fresh]
+                    got = np.zeros((len(fresh), len(languages)))
+                    real = [i for i, w in enumerate(clean) if w]
+                    if real:
+                        got[real] = log_scores(vocab, [clean[i] for i in real], p)
+                    row.update(zip(fresh, range(len(row), len(row) + len(fresh)), strict=True))
+                    scores = np.concatenate([scores, got])
+                best, top, rest = (b.column(slot + i).to_pylist() for i in (1, 2, 3))
+                for i, t in enumerate(texts):
+                    if not languages or not any(letters(w) for w in t):
+                        continue
+                    logs = scores[[row[w] for w in t]].sum(axis=0)
+                    at = int(logs.argmax())
+                    before = best[i] is None
+                    high = logs[at] if before else max(logs[at], top[i])
+                    rest[i] = float(np.exp(logs - high).sum() + (0.0 if before else rest[i] * np.exp(top[i] - high)))
+                    if before or logs[at] > top[i]:
+                        best[i] = languages[at]
+                    top[i] = float(high)
+                if final:
+                    named = [x or "und" for x in best]
+                    share = [1 / r if x else 0.0 for x, r in zip(best, rest, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*b.columns[:slot], pa.array(named, pa.string()), pa.array(share, pa.float64())], names=[*keep, "lang_pred", "score"])
+                else:
+                    yield pa.RecordBatch.from_arrays(
+                        [*b.columns[: slot + 1], pa.array(best, pa.string()), pa.array(top, pa.float64()), pa.array(rest, pa.float64())], names=b.schema.names)
+
+        return run
+
+    for i, (languages, shared) in enumerate(model.blocks or [([], None)]):
+        out = out.mapInArrow(scorer(languages, shared, i == last), done if i == last else out.schema)
+    return out
+
+
+def predict_languages(docs: DataFrame, path: str, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of docs(doc_id, text, lang).
 
     Learned from text and non-null lang of all rows that are not held out. lang_pred is `und`, with score 0,
@@ -289,5 +379,5 @@ def predict_languages(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataF
     """
     scratch = Scratch(docs.sparkSession)
     light = docs.select("doc_id", F.col("lang").alias("lang"), F.col("text").alias("_text"))
-    model = learn(light.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()), path, scratch, rounds)
+    model = learn(light.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()), path, scratch, rounds, block)
     return identify(light.withColumn("held_out", held_out(F.col("doc_id"))), model, ["doc_id", "held_out"])

@@ -82,3 +82,37 @@ def test_nothing_learned(spark):
     docs = spark.createDataFrame([(1, "abc", None), (2, "x", None)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in L.predict_languages(docs, PATH).collect()} == {"und"}
     assert L.predict_languages(docs.limit(0), PATH).collect() == []
+
+
+def log_domain(pieces, word, p):
+    """Forward and backward sums in logarithms, and the expected uses, for one language."""
+    w, n = L.START + word, len(word) + 1
+    parts = lambda i, j: [pieces.index[w[i:j]]] if w[i:j] in pieces.index else list(pieces.byte[list(w[i:j].encode())]) if j == i + 1 else None
+    arcs = [(i, j, ids) for i in range(n) for j in range(i + 1, min(n, i + pieces.longest) + 1) if (ids := parts(i, j))]
+    alpha, beta = np.full(n + 1, -np.inf), np.full(n + 1, -np.inf)
+    alpha[0] = beta[n] = 0
+    for i, j, ids in arcs:
+        alpha[j] = np.logaddexp(alpha[j], alpha[i] + np.log(p[ids]).sum())
+    for i, j, ids in reversed(arcs):
+        beta[i] = np.logaddexp(beta[i], beta[j] + np.log(p[ids]).sum())
+    uses = np.zeros(pieces.size)
+    for i, j, ids in arcs:
+        np.add.at(uses, ids, np.exp(alpha[i] + np.log(p[ids]).sum() + beta[j] - alpha[n]))
+    return alpha[n], uses
+
+
+@pytest.mark.parametrize("word", ["中" * 100, "ꙮ" * 30, "ꙮ" * 5, "thesch" * 50, "the中ꙮ" * 75, "a" * 64, "undscheinung" * 500])
+def test_long_words(pieces, word, monkeypatch):
+    monkeypatch.setattr(L, "LOOKUP", 1000)
+    rng = np.random.default_rng(4)
+    for p in (np.full(pieces.size, 1 / pieces.size), rng.dirichlet(np.full(pieces.size, 0.2)) + 1e-12):
+        log, uses = log_domain(pieces, word, p)
+        assert L.log_scores(pieces, [word, "x"], p[:, None])[0, 0] == pytest.approx(log, rel=1e-9)
+        assert L.expected(pieces, ["x", word], np.array([0.0, 2.0]), p) == pytest.approx(2 * uses, abs=1e-6)
+
+
+def test_languages_in_blocks(spark):
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, lang string, score int")
+    a, b = (L.predict_languages(docs, PATH, block=n).orderBy("doc_id").collect() for n in (64, 1))
+    assert [r["lang_pred"] for r in a] == [r["lang_pred"] for r in b]
+    assert [r["score"] for r in a] == pytest.approx([r["score"] for r in b])
