@@ -6,6 +6,7 @@ import numpy as np
 import xxhash
 
 from strataloom.llm import simhash
+from strataloom.llm.common import Scratch
 
 DOC = "doc_id long, text string"
 
@@ -106,3 +107,29 @@ def test_a_near_pair_shares_a_bucket():
     for i in range(64):
         for j in range(64):
             assert any(not m & (1 << i | 1 << j) for m in masks)
+
+
+def test_large_buckets_in_tile_pairs(spark):
+    """Fingerprints that share the bits of a bucket, far more than a tile holds, against brute force."""
+    rng = np.random.default_rng(8)
+    low = rng.integers(0, 1 << 22, 900, dtype=np.uint64)  # dense: many within two bits, all in one bucket of the top bits
+    fps = sorted(set(low.tolist()) | {int(x) ^ 3 for x in low[:200]} | {int(x) ^ 1 << 63 for x in low[:50]})
+    rows = [(f"d{i}", x - (1 << 64) if x >= 1 << 63 else x) for i, x in enumerate(fps)]
+    got = simhash.near_classes(Scratch(spark), spark.createDataFrame(rows, "doc_id string, _fp long"), tile=64)
+    parent = list(range(len(fps)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 2:
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    want = {}
+    for i, (d, _) in enumerate(rows):
+        want.setdefault(find(i), []).append(d)
+    least = {f: min(want[find(i)]) for i, (_, f) in enumerate(rows)}
+    assert {r["_fp"]: r["component_id"] for r in got.collect()} == least
