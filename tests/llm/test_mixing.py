@@ -1,10 +1,14 @@
 """Mixing against the SQL text on a small table, its laws, and the edge cases of its docstrings."""
 
+import itertools
+import math
 import random
+from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strataloom.llm import mixing
 
@@ -69,6 +73,46 @@ def test_targets_by_resharing():
         assert got == pytest.approx(slow(sizes))
 
 
+def test_draws_are_hypergeometric():
+    """The shares of all outcomes of a small tree, against their exact probabilities."""
+    quotas = np.array([3, 2, 1])
+    seen = Counter()
+    for i in range(6000):
+        got = mixing.split(quotas, 4, np.random.default_rng(i))
+        seen[tuple(map(tuple, got))] += 1
+    left = Counter()
+    for got, n in seen.items():
+        left[tuple(np.array(got[:2]).sum(axis=0))] += n
+    half = 3
+    for a in itertools.product(range(4), range(3), range(2)):
+        if sum(a) == half:
+            p = math.prod(math.comb(q, k) for q, k in zip(quotas.tolist(), a, strict=True)) / math.comb(6, half)
+            assert abs(left[a] / 6000 - p) < 5 * math.sqrt(p * (1 - p) / 6000)
+    assert sum(left.values()) == 6000
+
+
+def test_shards_are_the_trees(docs):
+    """Blocks of each source in each shard, as many as the tree's draw of the quotas; every take is in one shard."""
+    rows_ = mixing.sized(docs.select("doc_id", "source", "text"), "doc_id", "text").withColumn("block", F.col("_block"))
+    got = mixing.mixed(rows_, "source").select("source", "block", F.col("_takes.shard").alias("shards")).collect()
+    blocks = {(r["source"], r["block"]): r["shards"] for r in got}
+    quotas, dealt = Counter(), Counter()
+    for (s, _), at in blocks.items():
+        quotas[s] += len(at)
+        dealt.update((s, x) for x in at)
+    names = sorted(quotas, key=lambda s: (s is None, s or ""))
+    want = mixing.split(np.array([quotas[s] for s in names]), mixing.SHARDS, np.random.Generator(np.random.PCG64(mixing.SEED)))
+    assert {(s, h): n for (s, h), n in dealt.items()} == {(s, h): int(want[h, i]) for i, s in enumerate(names) for h in range(mixing.SHARDS) if want[h, i]}
+
+
+def test_a_source_of_few_large_documents(spark):
+    rows = [(1, "w " * 1000, "a"), (2, "w " * 900, "a"), *((10 + i, "x " * 30, "b") for i in range(10))]
+    got = mixing.mix_digest(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    taken = sum(r["taken"] for r in got if r["doc_id"] < 10)
+    target = next(r["target"] for r in got if r["doc_id"] == 1)
+    assert taken > 0 and abs(taken - target) <= 500
+
+
 def test_tree_keeps_quotas():
     quotas = np.array([7, 0, 100, 33])
     got = mixing.split(quotas, 5, np.random.default_rng(1))
