@@ -55,12 +55,27 @@ def plain(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalnum())
 
 
+def _common(masks: dict[str, int], n: int, text: str) -> int:
+    """Length of the longest common subsequence of a quote of n letters, given as a bit mask for each letter, and a text.
+
+    One addition of n-bit numbers for each letter of the text: a bit is off where the length grows by one.
+    """
+    whole = (1 << n) - 1
+    v = whole
+    for c in text:
+        if m := masks.get(c):
+            u = v & m
+            v = (v + u | v - u) & whole
+    return n - v.bit_count()
+
+
 def grounded(source: str, quote: str) -> bool:
     """Whether a quote is in its source, letters and digits alone counting.
 
     As a substring, or aligned with few repairs (characters put in or changed: a quarter of the quote at most, and 4 or 15 %)
-    and few omissions (source characters passed over inside the match: 32, or the quote's length). The table has for each
-    number of repairs the fewest omissions that end at each place of the source; a row is one numpy pass.
+    and few omissions (source characters passed over inside the match: 32, or the quote's length). A match lies in a stretch of
+    the quote's length and the omissions, so the source is looked at in windows that overlap by that; a window is aligned only if
+    it has enough of the quote's letters in order, which every match needs.
     """
     q, s = plain(quote), plain(source)
     if not q:
@@ -71,9 +86,23 @@ def grounded(source: str, quote: str) -> bool:
     omissions = max(32, len(q))
     if len(q) - repairs > len(s):
         return False
+    masks: dict[str, int] = {}
+    for i, c in enumerate(q):
+        masks[c] = masks.get(c, 0) | 1 << i
+    reach = len(q) + omissions
+    step = max(1, reach // 4)
+    for at in range(0, max(len(s) - reach, 0) + step, step):
+        part = s[at : at + reach + step]
+        if _common(masks, len(q), part) >= len(q) - repairs and _aligned(part, q, repairs, omissions):
+            return True
+    return False
+
+
+def _aligned(s: str, q: str, repairs: int, omissions: int) -> bool:
+    """The table has for each number of repairs the fewest omissions that end at each place of the source; a row is one numpy pass."""
     letters = np.frombuffer(s.encode("utf-32-le"), dtype="<u4")
-    far, at = omissions + 1, np.arange(len(s) + 1)
-    before = np.full((repairs + 1, len(s) + 1), far)
+    far, at = omissions + 1, np.arange(len(s) + 1, dtype=np.int32)
+    before = np.full((repairs + 1, len(s) + 1), far, dtype=np.int32)
     before[0] = 0
     for i, c in enumerate(q, 1):
         now = np.full_like(before, far)
@@ -86,6 +115,8 @@ def grounded(source: str, quote: str) -> bool:
             now[i, 0] = 0
         # an omission moves one place to the right at the cost of one
         before = np.minimum(np.minimum.accumulate(now - at, axis=1) + at, far)
+        if before.min() > omissions:
+            return False
     return bool((before <= omissions).any())
 
 

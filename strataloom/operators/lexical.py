@@ -1,8 +1,8 @@
-"""Lexical search: BM25 with corpus-global statistics, capped within each parse."""
+"""Lexical search: BM25 with corpus-global statistics, capped within each parse, over a written index or by a scan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import query_terms, tokens
@@ -53,3 +53,56 @@ def scores(chunks: DataFrame, query: str, chunk: str = "chunk_id", parse: str =
 def search(chunks: DataFrame, query: str, k: int = 100, **names) -> DataFrame:
     """The k best chunks of each parse, ranked (score desc, chunk_id)."""
     return top_per(scores(chunks, query, **names), ["parse_id"], [F.col("score").desc(), F.col("chunk_id").asc()], k)
+
+
+class Index:
+    """A written index: postings(bucket, term, parse_id, chunk_id, tf, dl) by bucket of the term, and one row of statistics.
+
+    A query reads the buckets of its terms, and in them the row groups that hold the terms; nothing is tokenised anew.
+    """
+
+    BUCKETS = 64
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    @staticmethod
+    def bucket(term: Column) -> Column:
+        return F.pmod(F.xxhash64(term), F.lit(Index.BUCKETS)).cast("int")
+
+    @classmethod
+    def build(cls, chunks: DataFrame, path: str, chunk: str = "chunk_id", parse: str = "parse_id", text: str = "text") -> Index:
+        """Whatever the path held before is replaced. A chunk without a term counts in the statistics."""
+        spark = chunks.sparkSession
+        t = chunks.select(F.col(parse).alias("parse_id"), F.col(chunk).alias("chunk_id"), tokens(F.col(text)).alias("t"))
+        t.select("parse_id", "chunk_id", F.size("t").alias("dl")).write.mode("overwrite").parquet(f"{path}/chunks")
+        each = postings(chunks, chunk, parse, text).withColumn("bucket", cls.bucket(F.col("term")))
+        each.repartition("bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        spark.read.parquet(f"{path}/chunks").agg(F.count("*").alias("n"), F.avg("dl").alias("avg")).write.mode("overwrite").parquet(f"{path}/stats")
+        return cls(spark, path)
+
+    def scores(self, query: str, scope: DataFrame | None = None) -> DataFrame:
+        """As the function scores(), of the indexed chunks."""
+        terms, strict = query_terms(query)
+        terms = list(dict.fromkeys(terms))
+        stats = self.spark.read.parquet(f"{self.path}/stats").first()
+        rows = self.spark.read.parquet(f"{self.path}/postings")
+        at = [r[0] for r in self.spark.range(1, numPartitions=1).select(F.explode(F.array(*(self.bucket(F.lit(t)) for t in terms)))).collect()] if terms else []
+        own = rows.filter(F.col("bucket").isin(*at) & F.col("term").isin(*terms)) if terms else rows.limit(0)
+        df = {r["term"]: r["n"] for r in own.groupBy("term").agg(F.count("*").alias("n")).collect()}  # one row a term of the query
+        if scope is not None:
+            own = own.join(scope.select("parse_id").distinct(), "parse_id", "left_semi")
+        tf = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("tf"))), F.lit(0)).alias(f"_tf{i}") for i, t in enumerate(terms)]
+        each = own.groupBy("parse_id", "chunk_id").agg(F.max("dl").alias("_dl"), F.count("*").alias("_k"), *tf)
+        if strict:
+            each = each.filter(F.col("_k") == len(terms))
+        score = F.lit(0.0)
+        for i, t in enumerate(terms):
+            n = df.get(t, 0)
+            idf = F.greatest(F.log((F.lit(float(stats["n"])) - n + 0.5) / (n + 0.5)), F.lit(LEAST_IDF))
+            use = F.col(f"_tf{i}")
+            score = score + idf * (use * (K1 + 1)) / (use + K1 * (1 - B + B * F.col("_dl") / F.lit(stats["avg"])))
+        return each.select("parse_id", "chunk_id", score.alias("score"))
+
+    def search(self, query: str, k: int = 100, scope: DataFrame | None = None) -> DataFrame:
+        return top_per(self.scores(query, scope), ["parse_id"], [F.col("score").desc(), F.col("chunk_id").asc()], k)

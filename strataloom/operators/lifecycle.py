@@ -82,7 +82,8 @@ def merge_queue(queue: DataFrame, fresh: DataFrame) -> DataFrame:
     return both.select(
         "source_key", F.coalesce("first_detected_at", "_f").alias("first_detected_at"), F.greatest("detected_at", "_d").alias("detected_at"),
         F.when(hit & F.col("state").isNotNull(), F.col("coalesced_count") + F.col("_c") + 1).otherwise(F.coalesce("coalesced_count", "_c")).alias("coalesced_count"),
-        F.coalesce("_o", "operation_id").alias("operation_id"), F.when(hit, "pending").otherwise(F.col("state")).alias("state"))
+        F.coalesce("_o", "operation_id").alias("operation_id"), F.when(hit, "pending").otherwise(F.col("state")).alias("state"),
+        F.when(hit, 0).otherwise(F.coalesce("attempts", F.lit(0))).alias("attempts"), F.when(~hit, F.col("error")).alias("error"))
 
 
 def claim(queue: DataFrame, n: int) -> DataFrame:
@@ -90,6 +91,20 @@ def claim(queue: DataFrame, n: int) -> DataFrame:
     return queue.filter("state in ('pending', 'in_flight')").orderBy("detected_at", "source_key").limit(n).withColumns({"state": F.lit("in_flight"), "attempts": F.coalesce("attempts", F.lit(0)) + 1})
 
 
+def complete(queue: DataFrame, done: DataFrame) -> DataFrame:
+    """The queue without the claimed entries done(source_key); one that was detected anew meanwhile pends and stays."""
+    keys = done.select("source_key").distinct().withColumn("state", F.lit("in_flight"))
+    return queue.join(keys, ["source_key", "state"], "left_anti").select(*queue.columns)
+
+
+def fail(queue: DataFrame, failures: DataFrame, most: int = 1000) -> DataFrame:
+    """Claimed entries of failures(source_key, error) as failed, with the first `most` characters of the error; the last by order of text, if several."""
+    f = failures.groupBy("source_key").agg(F.max(F.substring("error", 1, most)).alias("_e"))
+    got = queue.join(f, "source_key", "left")
+    hit = (F.col("state") == "in_flight") & F.col("_e").isNotNull()
+    return got.withColumns({"error": F.when(hit, F.col("_e")).otherwise(F.col("error")), "state": F.when(hit, "failed").otherwise(F.col("state"))}).select(*queue.columns)
+
+
 def queue_depths(queue: DataFrame) -> DataFrame:
     return queue.groupBy("state").agg(F.count("*").alias("n"), F.coalesce(F.sum("coalesced_count"), F.lit(0)).alias("coalesced"))
 

@@ -149,7 +149,7 @@ QUERIES = {f.__name__: f for f in (
     evidence_text_by_type, html_units, href_resolve, table_grid, prose_cleanup, canonical_json_hash, fuzzy_grounding, passage_admission, evidence_pack, passage_provenance)}
 
 _OVERLAP = """o AS (SELECT DISTINCT o_orderkey AS annotation_id, l_orderkey % 500 AS window_id FROM orders JOIN lineitem ON o_custkey % 900 = l_partkey % 900
-  WHERE o_orderkey % 20 = 1 AND (o_orderkey % 9 = 0 OR ((o_orderkey % 7) * 10 + 3 < l_linenumber * 10 + 15 AND l_linenumber * 10 < (o_orderkey % 7) * 10 + 8)))"""
+  WHERE (o_orderkey % 9 = 0 OR ((o_orderkey % 7) * 10 + 3 < l_linenumber * 10 + 15 AND l_linenumber * 10 < (o_orderkey % 7) * 10 + 8)))"""
 
 ORACLES = {
     "paragraph_units": """WITH l AS (SELECT doc_id, text, i, ls[i] AS line, coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0) AS s FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents), unnest(range(1, len(ls) + 1)) u(i)),
@@ -163,5 +163,5 @@ ORACLES = {
         SELECT window_id, unit_id, min(s) AS start_char, max(s) + 10 AS end_char FROM g GROUP BY window_id, unit_id, g""",
     "annotation_window_overlap_join": f"WITH {_OVERLAP} SELECT * FROM o",
     "cohort_grouping": f"WITH {_OVERLAP} SELECT window_id, count(*)::int AS n_members, sha256(string_agg(annotation_id || ':' || md5(o_orderpriority), ',' ORDER BY annotation_id)) AS input_hash FROM o JOIN orders ON o_orderkey = annotation_id GROUP BY 1",
-    "single_window_of_unit": "SELECT l_partkey % 900 AS unit_id, CASE WHEN count(DISTINCT l_orderkey % 500) = 1 THEN min(l_orderkey % 500) END AS window_id FROM lineitem WHERE l_orderkey % 500 < 40 GROUP BY 1",
+    "single_window_of_unit": "SELECT l_partkey % 900 AS unit_id, CASE WHEN count(DISTINCT l_orderkey % 500) = 1 THEN min(l_orderkey % 500) END AS window_id FROM lineitem GROUP BY 1",
 }

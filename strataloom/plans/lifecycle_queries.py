@@ -220,7 +220,7 @@ ORACLES = {
     "retry_locations": f"WITH {T.LOCATIONS} SELECT native_uri FROM locations WHERE source_id % 13 = 0 UNION SELECT native_uri FROM locations WHERE status = 'access_lost'",
     "held_parses": f"WITH {_PARSES} SELECT source_id, parse_id, held_reason FROM parses WHERE status = 'ready' AND held_reason IS NOT NULL",
     "retry_guard": f"""WITH {_PARSES} SELECT source_id, CASE min(CASE WHEN status = 'ready' AND held_reason IS NULL THEN 1 WHEN status IN ('failed', 'active') OR held_reason IS NOT NULL THEN 2 WHEN status = 'building' THEN 3 END)
-        WHEN 1 THEN 'gate' WHEN 2 THEN 'settled' WHEN 3 THEN 'building' ELSE 'free' END AS guard FROM parses WHERE parse_id % 40 = 1 GROUP BY 1""",
+        WHEN 1 THEN 'gate' WHEN 2 THEN 'settled' WHEN 3 THEN 'building' ELSE 'free' END AS guard FROM parses GROUP BY 1""",
     "snapshot_compare": """SELECT o_orderkey, CASE WHEN o_orderkey % 97 = 0 THEN 'missing' WHEN o_orderkey % 89 = 0 THEN 'extra' ELSE 'different' END AS state FROM orders
         WHERE (o_orderkey % 97 = 0) <> (o_orderkey % 89 = 0) OR (o_orderkey % 101 = 0 AND o_orderkey % 97 <> 0 AND o_orderkey % 89 <> 0)""",
     "freshness_steps": """WITH h AS (SELECT user_id AS id, event_id AS seq, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'fresh' WHEN 'view' THEN 'stale' WHEN 'signup' THEN 'building' ELSE 'superseded' END AS state FROM events),

@@ -36,12 +36,12 @@ _SIM = f"sims AS (SELECT vec_id, label, {_COS.format(v='embedding')} AS sim FROM
 
 
 def lexical_bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return lexical.search(T.chunks(spark, d), QUERY, 10).withColumn("score", F.round("score", 6))
+    return T.index(spark, d).search(QUERY, 10).withColumn("score", F.round("score", 6))
 
 
 def lexical_strict_vs_broad(spark: SparkSession, d: str) -> DataFrame:
-    c = T.chunks(spark, d)
-    both = [lexical.search(c, q, 5).select(F.lit(name).alias("mode"), "parse_id", "chunk_id", F.round("score", 6).alias("score"), "rank") for name, q in (("strict", QUERY), ("broad", BROAD))]
+    c = T.index(spark, d)
+    both = [c.search(q, 5).select(F.lit(name).alias("mode"), "parse_id", "chunk_id", F.round("score", 6).alias("score"), "rank") for name, q in (("strict", QUERY), ("broad", BROAD))]
     return both[0].union(both[1])
 
 
@@ -49,7 +49,7 @@ def lexical_scoped(spark: SparkSession, d: str) -> DataFrame:
     """Statistics stay those of the corpus when the scope is two parses."""
     c = T.chunks(spark, d)
     within = c.select("parse_id").distinct().filter(F.col("parse_id").isin("src1", "src2"))
-    return lexical.search(c, BROAD, 10, scope=within).withColumn("score", F.round("score", 6))
+    return T.index(spark, d).search(BROAD, 10, scope=within).withColumn("score", F.round("score", 6))
 
 
 def lexical_postings(spark: SparkSession, d: str) -> DataFrame:
@@ -107,7 +107,7 @@ _UNITS = f"""
 
 def unit_resolution_lexical(spark: SparkSession, d: str) -> DataFrame:
     c = T.chunks(spark, d)
-    hits = lexical.search(c, BROAD, 20).select("chunk_id", F.round(-F.col("score"), 6).alias("bm25"))
+    hits = T.index(spark, d).search(BROAD, 20).select("chunk_id", F.round(-F.col("score"), 6).alias("bm25"))
     members = c.select("chunk_id", F.array(F.expr("chunk_id div 2"), F.expr("chunk_id div 2 + 1")).alias("unit_ids"))
     return dense.resolve_units(hits, members, "bm25", highest=False).withColumn("bm25", F.round("bm25", 6))
 
@@ -116,7 +116,7 @@ def rrf_fusion(spark: SparkSession, d: str) -> DataFrame:
     """The dense list repeats units; a unit votes once, at its first place."""
     v = T.vectors(spark, d)
     near = dense.search(v, T.query_vector(spark, d, VEC), 40).select(F.lit("dense").alias("list"), F.expr("chunk_id div 2").alias("key"), F.col("rank").alias("position"))
-    lex = lexical.search(T.chunks(spark, d), BROAD, 1).select(F.lit("lexical").alias("list"), F.expr("chunk_id div 4").alias("key"), (F.col("chunk_id") + 1).alias("position"))
+    lex = T.index(spark, d).search(BROAD, 1).select(F.lit("lexical").alias("list"), F.expr("chunk_id div 4").alias("key"), (F.col("chunk_id") + 1).alias("position"))
     return ranking.fuse(near.union(lex), limit=30).withColumn("score", F.round("score", 9))
 
 
@@ -212,7 +212,7 @@ ORACLES = {
     "lexical_strict_vs_broad": f"SELECT * FROM (WITH {_bm25(QUERY, 5)} SELECT 'strict' AS mode, * FROM bm) UNION ALL SELECT * FROM (WITH {_bm25(BROAD, 5)} SELECT 'broad' AS mode, * FROM bm)",
     "lexical_scoped": f"WITH {_bm25(BROAD, 10)} SELECT * FROM bm WHERE parse_id IN ('src1', 'src2')",
     "lexical_postings": """SELECT term, count(*) AS df, sum(tf)::bigint AS uses FROM (SELECT doc_id, term, count(*) AS tf FROM (
-        SELECT doc_id, unnest(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+')) AS term FROM documents) WHERE term <> '' GROUP BY ALL) GROUP BY term HAVING df >= 20""",
+        SELECT doc_id, unnest(regexp_split_to_array(strip_accents(lower(text)), '[^\\p{L}\\p{N}]+')) AS term FROM documents) WHERE term <> '' GROUP BY ALL) GROUP BY term""",
     "dense_cosine_topk": f"WITH {_Q}, {_SIM} SELECT vec_id AS chunk_id, label AS parse_id, round(sim, 6) AS similarity, row_number() OVER (ORDER BY sim DESC, label, vec_id) AS rank FROM sims QUALIFY rank <= 20",
     "dense_topk_per_label": f"WITH {_Q}, {_SIM} SELECT vec_id AS chunk_id, label AS parse_id, round(sim, 6) AS similarity, row_number() OVER (PARTITION BY label ORDER BY sim DESC, vec_id) AS rank FROM sims QUALIFY rank <= 3",
     "section_guided_dense": f"WITH {_SECTION} SELECT unit_id, window_id, chunk_id, round(sim, 6) AS similarity, rank FROM sec",

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import prepare
+from ..operators.lexical import Index
+from ..runtime import prepare, shared_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,17 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("parse_id"), "text")
 
 
+_indexes: dict[tuple[str, str], Index] = {}
+
+
+def index(spark: SparkSession, sf_dir: str) -> Index:
+    """The written lexical index of chunks(), built at the first use in an application, as an ingestion would."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = Index.build(chunks(spark, sf_dir), f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}")
+    return _indexes[key]
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks with vectors: vec_id is the chunk, label the parse; chunk c holds units c and c + 1."""
     return table(spark, sf_dir, "embeddings").select(

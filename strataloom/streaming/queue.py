@@ -7,7 +7,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.lifecycle import coalesced, merge_queue
 
-QUEUE = "source_key string, first_detected_at timestamp, detected_at timestamp, coalesced_count long, operation_id long, state string"
+QUEUE = "source_key string, first_detected_at timestamp, detected_at timestamp, coalesced_count long, operation_id long, state string, attempts int, error string"
 
 
 class QueueSink:
@@ -27,6 +27,11 @@ class QueueSink:
 
     def merge(self, detections: DataFrame, batch: int) -> None:
         merge_queue(self.version(batch - 1), coalesced(detections)).write.mode("overwrite").parquet(f"{self.path}/v{batch}")
+        self._drop(batch - 2)  # a batch that runs again needs the version before it, not older ones
+
+    def _drop(self, batch: int) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/v{batch}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
     def start(self, detections: DataFrame, checkpoint: str, **trigger) -> StreamingQuery:
         return detections.writeStream.foreachBatch(self.merge).option("checkpointLocation", checkpoint).trigger(**trigger or {"availableNow": True}).start()
