@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import grain_queries, graph_queries, lifecycle_queries, retrieval_queries
+from . import grain_queries, graph_queries, lifecycle_queries, retrieval_queries, served_queries
 
-_PARTS = (retrieval_queries, graph_queries, lifecycle_queries, grain_queries)
+_PARTS = (retrieval_queries, graph_queries, lifecycle_queries, grain_queries, served_queries)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for p in _PARTS for k, v in p.ORACLES.items()}
