@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import prepare
+from ..runtime import prepare, shared_dir
 
 #: Words are maximal runs of characters other than these six.
 SPACE = " \t\n\x0b\x0c\r"
@@ -18,22 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="strataloom-")
-        sc.setCheckpointDir(named)
-    return named
-
-
 class Scratch:
     """Written tables that cut lineage. A lost executor costs only the tasks that run, as the files are shared."""
 
     def __init__(self, spark: SparkSession):
         self.spark = prepare(spark)
-        self.root = f"{checkpoint_dir(spark)}/strataloom-{uuid.uuid4().hex}"
+        self.root = f"{shared_dir(spark)}/strataloom-{uuid.uuid4().hex}"
 
     def write(self, df: DataFrame, tag: str, **options: str) -> DataFrame:
         path = f"{self.root}/{tag}"

@@ -16,7 +16,7 @@ SPELLINGS: tuple[tuple[str, str], ...] = (
     ("modelling", "modeling"), ("noncommercial", "non commercial"), ("offence", "offense"), ("optimise", "optimize"),
     ("organisation", "organization"), ("organise", "organize"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"),
     ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("sub license", "sublicense"), ("utilisation", "utilization"),
-    ("whilst", "while"), ("wilful", "wilfull"),
+    ("whilst", "while"), ("wilful", "willful"),
 )
 
 # Texts of short public licences.
