@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.vectors import cosine
+
 
 def overlapping(refs: DataFrame, fragments: DataFrame) -> DataFrame:
     """Annotation references and window fragments of one unit whose ranges overlap; a missing range is the whole unit.
@@ -51,6 +55,21 @@ def best_per_kind(vectors: DataFrame, cap: int) -> DataFrame:
     return top_per(rows, ["kind"], [F.col("similarity").desc(), F.col("key").asc()], cap)
 
 
+def scan(vectors: DataFrame, query: Sequence[float], cap: int, source: str = "source") -> DataFrame:
+    """(list, window_id, score, source_score, vector_id, position) of published vectors(kind, window_id, vector_id, vector).
+
+    Each kind is one list of at most `cap` windows, a window once: by its best vector of the kind, ties to the lesser id. Only a window
+    with a vector of the kind `source` is nominated, and its best source similarity breaks ties; then the window's key does.
+    """
+    from .ranking import top_per
+
+    scored = vectors.select("kind", "window_id", "vector_id", cosine(F.col("vector"), query).alias("s")).filter("s is not null and not isnan(s)")
+    best = scored.groupBy("kind", "window_id").agg(F.min(F.struct((-F.col("s")).alias("s"), "vector_id")).alias("b"))
+    own = best.filter(F.col("kind") == source).select("window_id", (-F.col("b.s")).alias("source_score"))
+    each = best.join(own, "window_id").select(F.col("kind").alias("list"), "window_id", (-F.col("b.s")).alias("score"), "source_score", F.col("b.vector_id").alias("vector_id"))
+    return top_per(each, ["list"], [F.col("score").desc(), F.col("source_score").desc(), F.col("window_id").cast("string").asc()], cap, "position")
+
+
 def plain(text: str) -> str:
     return "".join(c for c in text.lower() if c.isalnum())
 

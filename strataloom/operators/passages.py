@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.canonical import canonical_hash
 from .packing import count_tokens
 
 Part = tuple[str, int, int]  # unit, start, end
@@ -84,18 +85,41 @@ ADMITTED = "query_id long, rank int, score double, source_id string, candidate_i
 
 
 def candidate_id(p: Passage) -> str:
-    return hashlib.sha256(repr((str(p.source), p.parts)).encode()).hexdigest()
+    """Hash of the source and the ranges, as canonical JSON."""
+    return canonical_hash([str(p.source), [list(x) for x in p.parts]])
+
+
+def clipped(p: Passage, max_tokens: int = 512, max_units: int = 64, count: Callable[[str], int] = count_tokens) -> Passage:
+    """A seed within the limits: trailing parts go first; a lone part keeps the longest beginning that ends a word and fits."""
+    out = Passage(p.score, p.key, p.source, p.parts[:max_units], p.text_of, p.matches)
+    while len(out.parts) > 1 and count(out.text()) > max_tokens:
+        out.parts = out.parts[:-1]
+    if len(out.parts) == 1 and count(out.text()) > max_tokens:
+        u, a, b = out.parts[0]
+        text = out.text_of[u][a:b]
+        ends = [m.end() for m in re.finditer(r"\S+", text)]
+        low, high = 0, len(ends)  # the first `low` words fit
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if count(text[: ends[mid - 1]]) <= max_tokens else (low, mid - 1)
+        out.parts = [(u, a, a + ends[low - 1])] if low else []
+    held = {u for u, _, _ in out.parts}
+    out.matches = [m for m in p.matches if m in held]
+    return out
 
 
-def passages(seeds: DataFrame, limit: int, max_tokens: int = 512, max_units: int = 64) -> DataFrame:
+def passages(seeds: DataFrame, limit: int, max_tokens: int = 512, max_units: int = 64, clip: bool = False) -> DataFrame:
     """Admission for each query of seeds(query_id, key, score, source_id, parts array<struct<unit_id, start_char, end_char, text>>).
 
     A fold over the few best seeds of a query (pool limits bound them), queries being independent; `text` is the unit's whole text.
+    With `clip` each seed is first cut to the limits.
     """
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
         given = [Passage(float(r.score), str(r.key), r.source_id, union([(str(p["unit_id"]), int(p["start_char"]), int(p["end_char"])) for p in r.parts]),
                          {str(p["unit_id"]): p["text"] for p in r.parts}, sorted({str(p["unit_id"]) for p in r.parts})) for r in rows.itertuples()]
+        if clip:
+            given = [clipped(p, max_tokens, max_units) for p in given]
         got = admit(given, limit, max_tokens, max_units)
         return pd.DataFrame({
             "query_id": [int(rows.query_id.iloc[0])] * len(got), "rank": range(1, len(got) + 1), "score": [p.score for p in got], "source_id": [str(p.source) for p in got], "candidate_id": [candidate_id(p) for p in got],

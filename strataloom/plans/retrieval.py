@@ -9,11 +9,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dense, graph, lexical, passages, scope
+from ..operators.annotations import consolidate, scan
 from ..operators.ranking import top
 from .retrieval_queries import grouped_fusion
 
 MAX_CHARS, MAX_RESULTS, DEFAULT_RESULTS = 8192, 100, 10
-CHANNEL_CAP, POOL_CAP, K = 100, 100, 60
+CHANNEL_CAP, POOL_CAP, K, NAMES = 100, 100, 60, 20
 
 
 class RequestError(ValueError):
@@ -51,59 +52,219 @@ class Engine:
     """Answers requests over one snapshot of tables.
 
     objects(source_id, active_parse_id, deactivated_at), locations, chunks(chunk_id, parse_id, text, unit_ids), vectors(chunk_id,
-    parse_id, vector, unit_ids), nodes and links of the entity graph (or None). embed turns the query into a
-    vector; rerank, a Column function of text, is optional.
+    parse_id, vector, unit_ids). embed turns the query into a vector. What else is given adds to the answer:
+
+    index: a written lexical index of the chunks, in whose absence they are scanned. windows(window_id, parse_id, vector, unit_ids):
+    sections, whose units join the dense list. nodes and links: the entity graph; names(parse_id, name, vector): its names' vectors, the
+    nearest of which are matched too. published(kind, parse_id, window_id, vector_id, vector): vectors of published annotation cohorts
+    over windows, kind 'source' being the window's own text. matrices(window_id, chunk_ids, matrix) with embed_tokens, the query's
+    matrix: late interaction scores the windows of the pool. rerank, a Column function of text. relationships(from_id, to_id, type) and
+    annotations(annotation_id, unit_ids): what the request may include.
     """
 
-    def __init__(self, objects: DataFrame, locations: DataFrame, chunks: DataFrame, vectors: DataFrame, embed: Callable[[str], Sequence[float]], nodes: DataFrame | None = None, links: DataFrame | None = None, rerank: Callable[[Column], Column] | None = None):
+    def __init__(self, objects: DataFrame, locations: DataFrame, chunks: DataFrame, vectors: DataFrame, embed: Callable[[str], Sequence[float]], nodes: DataFrame | None = None, links: DataFrame | None = None, rerank: Callable[[Column], Column] | None = None, *,
+                 index: lexical.Index | None = None, windows: DataFrame | None = None, names: DataFrame | None = None, published: DataFrame | None = None, matrices: DataFrame | None = None,
+                 embed_tokens: Callable[[str], Sequence[Sequence[float]]] | None = None, relationships: DataFrame | None = None, annotations: DataFrame | None = None):
         self.objects, self.locations, self.chunks, self.vectors = objects, locations, chunks, vectors
         self.embed, self.nodes, self.links, self.rerank = embed, nodes, links, rerank
+        self.index, self.windows, self.names, self.published = index, windows, names, published
+        self.matrices, self.embed_tokens, self.relationships, self.annotations = matrices, embed_tokens, relationships, annotations
 
-    def channels(self, r: Request) -> DataFrame:
-        """(list, key, position): units of each channel, scoped before any cap."""
-        within = scope.active(self.objects, self.locations, r.source_ids, r.domains)
-        scoped = self.vectors.join(within.select("parse_id"), "parse_id", "left_semi")
-        near = dense.search(scoped.drop("unit_ids"), self.embed(r.query), CHANNEL_CAP).select("chunk_id", "similarity")
-        lists = [dense.resolve_units(near, self.vectors).select(F.lit("dense").alias("list"), F.col("unit_id").alias("key"), F.col("rank").alias("position"))]
-        hits = lexical.search(self.chunks, r.query, CHANNEL_CAP, scope=within)
+    @staticmethod
+    def _held(rows: DataFrame) -> DataFrame:
+        """Rows as a local table, so that what follows doesn't run the searches anew; only for lists that a cap bounds."""
+        return rows.sparkSession.createDataFrame(rows.collect(), rows.schema).coalesce(1)
+
+    def _dense(self, within: DataFrame, query: Sequence[float]) -> DataFrame:
+        """(unit_id, rank): units of the nearest chunks, fused with those that the nearest sections nominate."""
+        scoped = self.vectors.join(within, "parse_id", "left_semi")
+        near = dense.search(scoped.drop("unit_ids"), query, CHANNEL_CAP).select("chunk_id", "similarity")
+        direct = dense.resolve_units(near, scoped).filter(F.col("rank") <= CHANNEL_CAP).select("unit_id", "rank")
+        if self.windows is None:
+            return direct
+        sections = dense.section_nominate(self.windows.join(within, "parse_id", "left_semi"), scoped, query)
+        return dense.merge_section(direct, sections.select("unit_id", "rank"), K, CHANNEL_CAP).select("unit_id", "rank")
+
+    def _lexical(self, within: DataFrame, text: str) -> DataFrame:
+        hits = self.index.scores(text, within) if self.index is not None else lexical.scores(self.chunks, text, scope=within)
         found = top(hits, [F.col("score").desc(), F.col("chunk_id").asc()], CHANNEL_CAP, "place").select("chunk_id", (-F.col("score")).alias("bm25"))
-        lists.append(dense.resolve_units(found, self.chunks, "bm25", highest=False).select(F.lit("lexical"), "unit_id", "rank"))
+        return dense.resolve_units(found, self.chunks, "bm25", highest=False).filter(F.col("rank") <= CHANNEL_CAP).select("unit_id", "rank")
+
+    def _graph(self, within: DataFrame, text: str, query: Sequence[float]) -> DataFrame:
+        """(unit_id, rank), a unit once: those of names in the query, and of the names nearest to it."""
+        nodes = self.nodes.join(within, "parse_id", "left_semi")
+        matched = graph.match_names(nodes, text)
+        if self.names is not None:
+            matched = graph.add_semantic(matched, dense.search(self.names.join(within, "parse_id", "left_semi"), query, NAMES, "name", order=("parse_id", "name")))
+        reached = graph.channel(graph.reach(matched, nodes, self.links), CHANNEL_CAP)
+        once = reached.groupBy("unit_id").agg(F.min("rank").alias("rank"))
+        return top(once, [F.col("rank").asc()], CHANNEL_CAP, "place").select("unit_id", F.col("place").alias("rank"))
+
+    def channels(self, r: Request) -> DataFrame:
+        """(list, key, position, unit_id, window_id): units and windows of each list, scoped before any cap; at most CHANNEL_CAP a list.
+
+        A unit that one window alone cites is that window, if the annotation scan nominated it.
+        """
+        within = scope.active(self.objects, self.locations, r.source_ids, r.domains).select("parse_id").distinct()
+        query = self.embed(r.query)
+        found = {"dense": self._dense(within, query), "lexical": self._lexical(within, r.query)}
         if self.nodes is not None:
-            names = graph.match_names(self.nodes.join(within.select("parse_id"), "parse_id", "left_semi"), r.query)
-            ranked = graph.channel(graph.reach(names, self.nodes, self.links), CHANNEL_CAP)
-            lists.append(ranked.select(F.lit("graph"), "unit_id", "rank"))
-        out = lists[0]
-        for x in lists[1:]:
-            out = out.union(x)
-        return out
+            found["graph"] = self._graph(within, r.query, query)
+        hits = None
+        for name, units in found.items():
+            each = units.select(F.lit(name).alias("list"), "unit_id", F.col("rank").alias("position"))
+            hits = each if hits is None else hits.union(each)
+        own = F.concat(F.lit("u"), F.col("unit_id").cast("string"))
+        if self.published is None or self.windows is None:
+            return self._held(hits.select("list", own.alias("key"), "position", "unit_id", F.lit(None).cast("long").alias("window_id")))
+        scanned = self._held(scan(self.published.join(within, "parse_id", "left_semi"), query, CHANNEL_CAP).select("list", "window_id", "position"))
+        joined = consolidate(hits, self.windows, scanned).select("list", "key", "position", F.when(F.col("window_id").isNull(), F.col("unit_id")).alias("unit_id"), "window_id")
+        nominated = scanned.select("list", F.concat(F.lit("w"), F.col("window_id").cast("string")).alias("key"), "position", F.lit(None).cast(joined.schema["unit_id"].dataType).alias("unit_id"), "window_id")
+        return self._held(joined.union(nominated))
+
+    def fused(self, r: Request) -> DataFrame:
+        """(key, score, rank): the pool, units as 'u' and windows as 'w' with their ids."""
+        return grouped_fusion(self.channels(r).select("list", "key", "position"), CHANNEL_CAP, POOL_CAP, K)
+
+    def _pool(self, r: Request) -> DataFrame:
+        """(key, score, rank, unit_id, place): the pool's candidates with their units in reading order."""
+        lists = self.channels(r)
+        fused = grouped_fusion(lists.select("list", "key", "position"), CHANNEL_CAP, POOL_CAP, K)
+        targets = fused.join(lists.select("key", "unit_id", "window_id").distinct(), "key")
+        units = targets.filter("unit_id is not null").select("key", "score", "rank", "unit_id", F.lit(0).alias("place"))
+        if self.windows is not None:
+            members = self.windows.select("window_id", F.posexplode("unit_ids").alias("place", "unit_id"))
+            units = units.union(members.join(F.broadcast(targets.drop("unit_id")), "window_id").select("key", "score", "rank", "unit_id", "place"))  # the pool is capped
+        return units
+
+    def _seeds(self, r: Request) -> DataFrame:
+        """Seeds of passages: chunks of a candidate, or where there are matrices, of each window of the pool by its late-interaction score.
+
+        Chunks out of scope and those without text are left out, and what is of several sources becomes one seed for each.
+        """
+        within = scope.active(self.objects, self.locations, r.source_ids, r.domains).select("source_id", "parse_id")
+        chunks = self.chunks.join(within, "parse_id")
+        pool = self._pool(r)
+        of_unit = chunks.select("chunk_id", F.explode("unit_ids").alias("unit_id"))
+        if self.matrices is not None and self.embed_tokens is not None:
+            best = pool.groupBy("unit_id").agg(F.min("rank").alias("rank"))
+            capped = dense.pool_windows(best, chunks.select("chunk_id", "unit_ids"), self.matrices.select("window_id", "chunk_ids"), POOL_CAP)
+            chosen = self.matrices.join(F.broadcast(capped.select("window_id")), "window_id")  # POOL_CAP rows
+            scored = dense.maxsim_rank(chosen, self.embed_tokens(r.query), limit=POOL_CAP)
+            parts = scored.select(F.col("window_id").cast("string").alias("key"), "score", F.posexplode("chunk_ids").alias("place", "chunk_id"))
+        else:
+            parts = pool.join(of_unit, "unit_id").groupBy("key", "score", "unit_id").agg(F.min("place").alias("place"), F.min("chunk_id").alias("chunk_id"))
+        got = parts.join(chunks.filter("text is not null").select("chunk_id", "source_id", "text"), "chunk_id")
+        part = F.struct("place", F.col("chunk_id").cast("string").alias("unit_id"), F.lit(0).alias("start_char"), F.length("text").alias("end_char"), "text")
+        seeds = got.groupBy("key", "score", F.col("source_id").cast("string").alias("source_id")).agg(F.array_sort(F.collect_list(part)).alias("parts"))
+        return seeds.select(F.lit(0).cast("long").alias("query_id"), "key", "score", "source_id", F.transform("parts", lambda p: p.dropFields("place")).alias("parts"))
 
     def query(self, raw: dict) -> DataFrame:
-        """Ranked passages: rank, score, source_id, candidate_id, unit_ids, text, matches and, if asked for, locations.
+        """Ranked passages: rank, score, source_id, candidate_id, unit_ids, text, matches and, as asked for, locations, relationships
+        (those with both ends in the result, with the passage that holds the first) and annotations (ids that cite the passage's units).
 
-        A unit's passage is the text of its chunk; overlapping ones are merged within the budget.
+        A unit's passage is the text of its chunk; seeds are cut to the budget, and overlapping ones merged within it.
         """
         r = Request.parse(raw)
-        fused = grouped_fusion(self.channels(r), CHANNEL_CAP, POOL_CAP, K)
-        unit = self.chunks.select(F.explode("unit_ids").alias("key"), "chunk_id", "parse_id", "text")
-        first = fused.join(unit, "key").groupBy("key", "score").agg(F.min_by(F.struct("chunk_id", "parse_id", "text"), "chunk_id").alias("c"))
-        owner = self.objects.filter("active_parse_id is not null").select("source_id", F.col("active_parse_id").alias("parse_id"))
-        part = F.struct(F.col("c.chunk_id").cast("string").alias("unit_id"), F.lit(0).alias("start_char"), F.length("c.text").alias("end_char"), F.col("c.text").alias("text"))
-        seeds = first.select(F.lit(0).cast("long").alias("query_id"), F.col("key").cast("string").alias("key"), "score", F.col("c.parse_id").alias("parse_id"), F.array(part).alias("parts"))
-        seeds = seeds.join(owner, "parse_id").select("query_id", "key", "score", F.col("source_id").cast("string").alias("source_id"), "parts")
-        got = passages.passages(seeds, POOL_CAP, max_tokens=512)
+        got = passages.passages(self._seeds(r), POOL_CAP, max_tokens=512, clip=True)
         if self.rerank is not None:
             got = dense.rerank(got.drop("rank", "score"), self.rerank, text="text")
         got = got.filter(F.col("rank") <= r.max_results)
+        if (r.include_relationships and self.relationships is not None) or (r.include_annotations and self.annotations is not None):
+            got = self._included(self._held(got), r)
         if r.include_locators:
             got = scope.citations(got, self.locations.withColumn("source_id", F.col("source_id").cast("string")))
         return got.drop("query_id")
 
+    def _included(self, got: DataFrame, r: Request) -> DataFrame:
+        units = got.select("candidate_id", F.explode("unit_ids").alias("unit_id")).distinct()
+        if r.include_relationships and self.relationships is not None:
+            edges = self.relationships.select(F.col("from_id").cast("string").alias("from_id"), F.col("to_id").cast("string").alias("to_id"), "type")
+            edges = scope.selected_relationships(edges, F.broadcast(units)).distinct()
+            each = edges.join(F.broadcast(units), edges["from_id"] == units["unit_id"]).groupBy("candidate_id").agg(F.array_sort(F.collect_list(F.struct("from_id", "to_id", "type"))).alias("relationships"))
+            got = got.join(each, "candidate_id", "left")
+        if r.include_annotations and self.annotations is not None:
+            cited = self.annotations.select("annotation_id", F.explode(F.transform("unit_ids", lambda u: u.cast("string"))).alias("unit_id"))
+            each = cited.join(F.broadcast(units), "unit_id").groupBy("candidate_id").agg(F.array_sort(F.collect_set("annotation_id")).alias("annotations"))
+            got = got.join(each, "candidate_id", "left")
+        return got
+
+
+#: Names that documents of the test tables are said to hold, by number.
+NAMED = ("clown", "house", "idiot", "river", "there", "winter", "market", "letter", "garden", "engine")
+
 
 def document_engine(spark, sf_dir: str, vec_id: int = 7) -> Engine:
-    """The driver's tables as an engine: a document is a source, its chunk and its unit; embeddings belong to the documents of their number."""
+    """The driver's tables as an engine: a document is a source, its chunk and its unit; embeddings belong to the documents of their number.
+
+    Eight vectors in a row are a section; every second section has published vectors: the first and fifth are its source's, the next two an
+    entity's, the fourth a summary's. Documents name one or two entities. The embedder gives a stored vector whatever the query is, as there is no model.
+    """
     from . import tables as T
 
     docs = T.table(spark, sf_dir, "documents")
-    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("parse_id"), "text", F.array("doc_id").alias("unit_ids"))
-    vectors = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("vec_id").alias("parse_id"), F.col("embedding").alias("vector"), F.array("vec_id").alias("unit_ids"))
-    return Engine(T.sources(spark, sf_dir), T.locations(spark, sf_dir), chunks, vectors, lambda _: T.query_vector(spark, sf_dir, vec_id))
+    key = F.col("doc_id")
+    chunks = docs.select(key.alias("chunk_id"), key.alias("parse_id"), "text", F.array("doc_id").alias("unit_ids"))
+    each = T.table(spark, sf_dir, "embeddings")
+    v = F.col("vec_id")
+    vectors = each.select(v.alias("chunk_id"), v.alias("parse_id"), F.col("embedding").alias("vector"), F.array("vec_id").alias("unit_ids"))
+    window, at = F.expr("vec_id div 8").alias("window_id"), v % 8
+    windows = each.groupBy(window).agg(F.min("vec_id").alias("parse_id"), F.min_by("embedding", "vec_id").alias("vector"), F.array_sort(F.collect_list("vec_id")).alias("unit_ids"))
+    kind = F.when(at.isin(0, 4), "source").when(at.isin(1, 2), "entity").when(at == 3, "summary")
+    published = each.filter("vec_id div 8 % 2 = 0").select(kind.alias("kind"), (v - at).alias("parse_id"), window, v.alias("vector_id"), F.col("embedding").alias("vector")).filter("kind is not null")
+    named = F.array(*map(F.lit, NAMED))
+    second = F.when(key % 4 == 0, F.array(F.element_at(named, ((key + 3) % 10 + 1).cast("int")))).otherwise(F.array().cast("array<string>"))
+    nodes = docs.select(key.alias("parse_id"), F.explode(F.concat(F.array(F.element_at(named, (key % 10 + 1).cast("int"))), second)).alias("name"), F.array("doc_id").alias("unit_ids"))
+    links = docs.select(key.alias("parse_id"), F.element_at(named, (key % 10 + 1).cast("int")).alias("from_name"), F.lit("tale").alias("to_name"), F.array("doc_id").alias("unit_ids"))
+    matrices = each.select(v.alias("window_id"), F.array("vec_id").alias("chunk_ids"), F.array("embedding").alias("matrix"))
+    relationships = docs.select(key.alias("from_id"), (key + 2).alias("to_id"), F.lit("precedes").alias("type"))
+    annotations = docs.select((key * 10).alias("annotation_id"), F.array("doc_id").alias("unit_ids"))
+    return Engine(
+        T.sources(spark, sf_dir), T.locations(spark, sf_dir), chunks, vectors, lambda _: T.query_vector(spark, sf_dir, vec_id), nodes, links, index=T.index(spark, sf_dir, "doc_id"), windows=windows, published=published,
+        matrices=matrices, embed_tokens=lambda _: [T.query_vector(spark, sf_dir, vec_id), T.query_vector(spark, sf_dir, vec_id + 1)], relationships=relationships, annotations=annotations)
+
+
+def fused_candidates(spark, sf_dir: str) -> DataFrame:
+    """The pool of the flagship's request: all lists, consolidated and fused."""
+    from .retrieval_queries import QUERY
+
+    return document_engine(spark, sf_dir).fused(Request.parse({"query": QUERY})).withColumn("score", F.round("score", 9))
+
+
+def _fuse_sql(name: str, rows: str, cap: int) -> str:
+    return f"""{name} AS (SELECT key, score, row_number() OVER (ORDER BY score DESC, key) AS rank FROM (
+  SELECT key, list_sum(list(1.0::double / ({K} + r) ORDER BY list)) AS score FROM (SELECT list, key, row_number() OVER (PARTITION BY list ORDER BY position, key) AS r
+  FROM (SELECT list, key, min(position) AS position FROM ({rows}) GROUP BY ALL)) GROUP BY key) QUALIFY rank <= {cap})"""
+
+
+def fused_candidates_sql() -> str:
+    from . import tables as T
+    from .retrieval_queries import _Q, _SIM, QUERY, _bm25
+
+    names = "[" + ", ".join(f"'{n}'" for n in NAMED) + "]"
+    return f"""WITH {T.SOURCES}, {_Q}, {_SIM}, {_bm25(QUERY, 100)},
+act AS (SELECT active_parse_id AS p FROM sources WHERE active_parse_id IS NOT NULL AND deactivated_at IS NULL),
+sc AS (SELECT vec_id, sim FROM sims WHERE vec_id IN (SELECT p FROM act)),
+direct AS (SELECT vec_id AS u, row_number() OVER (ORDER BY sim DESC, vec_id) AS rank FROM sc QUALIFY rank <= {CHANNEL_CAP}),
+win AS (SELECT vec_id // 8 AS w, min(vec_id) AS p, arg_min(sim, vec_id) AS sim FROM sims GROUP BY 1),
+bw AS (SELECT w, row_number() OVER (ORDER BY sim DESC, p, w) AS wr FROM win WHERE p IN (SELECT p FROM act) QUALIFY wr <= 20),
+pl AS (SELECT vec_id AS u, wr, row_number() OVER (PARTITION BY w ORDER BY sim DESC, vec_id) AS place FROM sc JOIN bw ON vec_id // 8 = w QUALIFY place <= 5),
+sec AS (SELECT u, row_number() OVER (ORDER BY wr, place) AS rank FROM pl),
+dn AS (SELECT u, row_number() OVER (ORDER BY score DESC, u) AS rank FROM (SELECT u, list_sum(list(1.0::double / ({K} + rank) ORDER BY o)) AS score FROM (
+  SELECT u, rank, 0 AS o FROM direct UNION ALL SELECT u, rank, 1 FROM sec) GROUP BY u) QUALIFY rank <= {CHANNEL_CAP}),
+lx AS (SELECT chunk_id AS u, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM bm WHERE chunk_id IN (SELECT p FROM act) QUALIFY rank <= {CHANNEL_CAP}),
+nd AS (SELECT DISTINCT doc_id AS u, unnest(CASE WHEN doc_id % 4 = 0 THEN [{names}[doc_id % 10 + 1], {names}[(doc_id + 3) % 10 + 1]] ELSE [{names}[doc_id % 10 + 1]] END) AS name FROM documents WHERE doc_id IN (SELECT p FROM act)),
+gu AS (SELECT u, count(DISTINCT name) AS n, min((-length(name), name)) AS b FROM nd WHERE name IN ('clown', 'there') GROUP BY u),
+gr AS (SELECT u, row_number() OVER (ORDER BY CASE WHEN n > 1 THEN 1 ELSE 2 END, b, u) AS rank FROM gu QUALIFY rank <= {CHANNEL_CAP}),
+pub AS (SELECT CASE WHEN vec_id % 4 = 0 THEN 'source' WHEN vec_id % 8 < 3 THEN 'entity' ELSE 'summary' END AS list, vec_id // 8 AS w, sim FROM sims
+  WHERE vec_id // 8 % 2 = 0 AND vec_id % 8 <= 4 AND vec_id - vec_id % 8 IN (SELECT p FROM act)),
+pb AS (SELECT list, w, max(sim) AS sim FROM pub GROUP BY ALL),
+an AS (SELECT pb.list, w, row_number() OVER (PARTITION BY pb.list ORDER BY pb.sim DESC, o.sim DESC, w::varchar) AS rank FROM pb JOIN pb o USING (w) WHERE o.list = 'source' QUALIFY rank <= {CHANNEL_CAP}),
+h AS (SELECT 'dense' AS list, u, rank FROM dn UNION ALL SELECT 'lexical', u, rank FROM lx UNION ALL SELECT 'graph', u, rank FROM gr),
+l AS (SELECT list, CASE WHEN u IN (SELECT vec_id FROM embeddings) AND u // 8 IN (SELECT w FROM an) THEN 'w' || u // 8 ELSE 'u' || u END AS key, rank AS position FROM h
+  UNION ALL SELECT list, 'w' || w, rank FROM an),
+{_fuse_sql("sem", "SELECT * FROM l WHERE list NOT IN ('dense', 'source', 'graph', 'lexical')", CHANNEL_CAP)},
+{_fuse_sql("den", "SELECT * FROM l WHERE list IN ('dense', 'source')", CHANNEL_CAP)},
+{_fuse_sql("ann", "SELECT * FROM l WHERE list = 'graph' UNION ALL SELECT 'semantic', key, rank FROM sem", POOL_CAP)},
+{_fuse_sql("fin", "SELECT 'dense' AS list, key, rank AS position FROM den UNION ALL SELECT * FROM l WHERE list = 'lexical' UNION ALL SELECT 'annotation', key, rank FROM ann", POOL_CAP)}
+SELECT key, round(score, 9) AS score, rank FROM fin"""

@@ -41,14 +41,17 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("parse_id"), "text")
 
 
-_indexes: dict[tuple[str, str], Index] = {}
+_indexes: dict[tuple[str, str, str], Index] = {}
 
 
-def index(spark: SparkSession, sf_dir: str) -> Index:
-    """The written lexical index of chunks(), built at the first use in an application, as an ingestion would."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def index(spark: SparkSession, sf_dir: str, parse: str = "source") -> Index:
+    """The written lexical index of documents as chunks, built at the first use in an application, as an ingestion would.
+
+    A chunk's parse is its source, as in chunks(), or with `parse` doc_id the document itself.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, parse)
     if key not in _indexes:
-        _indexes[key] = Index.build(chunks(spark, sf_dir), f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}")
+        _indexes[key] = Index.build(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}", "doc_id", parse)
     return _indexes[key]
 
 
