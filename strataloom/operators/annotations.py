@@ -2,27 +2,85 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.vectors import cosine
 
 
+def _windows_of(refs: DataFrame, fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(annotation_id, cites), an annotation once, and (cites, windows): the windows of each set of ranges that annotations cite.
+
+    Annotations that cite the same ranges have the same windows, so ranges are joined once for each set of them, with the ranges of a
+    window's unit as one row. What is joined and shuffled grows with the rows and with the sets, not with their product.
+    """
+    part = F.col("start_char").isNull() | F.col("end_char").isNull()
+    span = F.struct("unit_id", *(F.when(~part, F.col(c)).alias(c) for c in ("start_char", "end_char")))
+    cites = refs.filter("unit_id is not null").select("annotation_id", span.alias("c")).groupBy("annotation_id").agg(F.array_sort(F.collect_set("c")).alias("cites"))
+    held = fragments.select("window_id", "unit_id", F.struct(F.col("start_char").alias("s"), F.col("end_char").alias("e")).alias("r")).distinct()
+    held = held.groupBy("window_id", "unit_id").agg(F.collect_list("r").alias("ranges"))
+    each = cites.select("cites").distinct().select("cites", F.explode("cites").alias("c")).select("cites", "c.*").join(held, "unit_id")
+    hit = lambda r: F.coalesce((F.col("start_char") < r["e"]) & (r["s"] < F.col("end_char")), F.lit(True))
+    whole = lambda r: F.col("start_char").isNull() | r["s"].isNull() | r["e"].isNull() | hit(r)
+    pairs = each.filter(F.exists("ranges", whole)).select("cites", "window_id").distinct()
+    return cites, pairs.groupBy("cites").agg(F.collect_list("window_id").alias("windows"))
+
+
 def overlapping(refs: DataFrame, fragments: DataFrame) -> DataFrame:
-    """Annotation references and window fragments of one unit whose ranges overlap; a missing range is the whole unit.
+    """(annotation_id, window_id), each once: references and window fragments of one unit whose ranges overlap; a missing range is the whole unit."""
+    cites, windows = _windows_of(refs, fragments)
+    return cites.join(windows, "cites").select("annotation_id", F.explode("windows").alias("window_id"))
+
+
+def overlap_cohorts(refs: DataFrame, fragments: DataFrame, inputs: DataFrame) -> DataFrame:
+    """cohorts() of overlapping(), without the pairs: (window_id, n_members, input_hash).
 
-    An equi-join on the unit, the range as its residual: long units are the skewed keys, which AQE can split.
+    Windows are dealt to as many groups as tasks run at once. A group gets each annotation that one of its windows holds once, with
+    those windows, in order of (annotation_id, content_hash); a task keeps a hash and a count for each of its windows.
     """
-    f = fragments.select("window_id", "unit_id", F.col("start_char").alias("_s"), F.col("end_char").alias("_e"))
-    both = refs.join(f, "unit_id")
-    whole = F.col("start_char").isNull() | F.col("end_char").isNull() | F.col("_s").isNull() | F.col("_e").isNull()
-    hit = whole | ((F.col("start_char") < F.col("_e")) & (F.col("_s") < F.col("end_char")))
-    return both.filter(hit).select("annotation_id", "window_id").distinct()
+    cites, windows = _windows_of(refs, fragments)
+    n = max(1, refs.sparkSession.sparkContext.defaultParallelism)
+    group = F.pmod(F.xxhash64("window_id"), F.lit(n)).cast("int").alias("_g")
+    dealt = windows.select("cites", F.explode("windows").alias("window_id")).groupBy("cites", group).agg(F.collect_list("window_id").alias("windows"))
+    members = cites.join(inputs.select("annotation_id", "content_hash").distinct(), "annotation_id")
+    each = members.join(dealt, "cites").select("_g", "annotation_id", "content_hash", "windows")
+    rows = each.repartitionById(n, F.col("_g")).sortWithinPartitions("annotation_id", "content_hash")
+    piece = F.concat_ws(":", F.col("annotation_id").cast("string"), "content_hash").alias("piece")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: dict = {}
+        hashes: dict = {}
+        for batch in batches:
+            pieces = [p.encode() for p in batch.column("piece").to_pylist()]
+            lists = batch.column("windows")
+            coded = lists.flatten().dictionary_encode()
+            code = coded.indices.to_numpy()
+            row = np.repeat(np.arange(len(pieces)), lists.value_lengths().to_numpy())
+            at = np.argsort(code, kind="stable")
+            ends = np.cumsum(np.bincount(code, minlength=len(coded.dictionary)))
+            for window, of in zip(coded.dictionary.to_pylist(), np.split(row[at], ends[:-1]), strict=True):
+                text = b",".join([pieces[i] for i in of.tolist()])
+                if window in hashes:
+                    hashes[window].update(b",")
+                else:
+                    count[window], hashes[window] = 0, hashlib.sha256()
+                hashes[window].update(text)
+                count[window] += len(of)
+        if count:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(count), type=kind), pa.array(list(count.values()), type=pa.int32()), pa.array([h.hexdigest() for h in hashes.values()])], names=["window_id", "n_members", "input_hash"])
+
+    schema = T.StructType([T.StructField("window_id", fragments.schema["window_id"].dataType), T.StructField("n_members", T.IntegerType()), T.StructField("input_hash", T.StringType())])
+    kind = to_arrow_type(schema["window_id"].dataType)
+    return rows.select(piece, "windows").mapInArrow(fold, schema)
 
 
 def cohorts(pairs: DataFrame, inputs: DataFrame) -> DataFrame:
