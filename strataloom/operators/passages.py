@@ -143,7 +143,8 @@ def evidence_pack(admitted: DataFrame, max_units: int = 6400, max_tokens: int =
 def provenance(admitted: DataFrame, hits: DataFrame) -> DataFrame:
     """Per passage and unit: the channels that found it, sorted; without any it is context. hits(unit_id, channel)."""
     each = admitted.select("query_id", "rank", F.explode("unit_ids").alias("unit_id"))
-    of = hits.groupBy("unit_id").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
+    own = hits.join(F.broadcast(each.select("unit_id").distinct()), "unit_id", "left_semi")  # passages are few: a limit for each query
+    of = own.groupBy("unit_id").agg(F.array_sort(F.collect_set("channel")).alias("channels"))
     got = each.join(of, "unit_id", "left")
     return got.select("query_id", "rank", "unit_id", F.coalesce("channels", F.array().cast("array<string>")).alias("channels"), F.when(F.col("channels").isNull(), "context").otherwise("matched").alias("role"))
 
