@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import acronym, ngrams, normal_name_col, prefix_match
+from ..runtime import shared_dir
 from .ranking import top_per
 
 #: Classes of a match, strongest first.
@@ -117,26 +119,34 @@ def channel(reached: DataFrame, cap: int | None = None) -> DataFrame:
 
 
 def ancestry(parents: DataFrame, roots: Sequence | None = None, depth: int = 64) -> DataFrame:
-    """(unit_id, ancestor_id, hops) along contains(parent_id, unit_id), nearest first; by repeated joins, as deep as the tree is.
+    """(unit_id, ancestor_id, hops) along contains(parent_id, unit_id).
 
-    Two parents of a unit, a cycle, or a way longer than `depth` are errors.
+    Each unit's way up doubles in a round, by the way of its last ancestor: as many rounds as the depth has binary digits, each written
+    to the shared folder. Two parents of a unit, a cycle, or a way longer than `depth` are errors.
     """
-    twice = parents.groupBy("unit_id").agg(F.count_distinct("parent_id").alias("n")).filter("n > 1").limit(1).count()
-    if twice:
+    spark = parents.sparkSession
+    folder = f"{shared_dir(spark)}/ancestry-{uuid.uuid4().hex}"
+
+    def written(rows: DataFrame, n: int) -> DataFrame:
+        rows.write.parquet(f"{folder}/{n}")
+        return spark.read.parquet(f"{folder}/{n}")
+
+    ends = parents.groupBy("unit_id").agg(F.array(F.min("parent_id")).alias("way"), (F.min("parent_id") != F.max("parent_id")).alias("two"))
+    ways = written(ends, 0)
+    if ways.filter("two").limit(1).count():
         raise ValueError("a unit has two parents")
-    up = parents.select(F.col("unit_id").alias("u"), F.col("parent_id").alias("p"))
-    level = parents.select("unit_id", F.col("parent_id").alias("ancestor_id"), F.lit(1).alias("hops"))
-    if roots is not None:
-        level = level.filter(F.col("unit_id").isin(*roots))
-    out = level
-    for hops in range(2, depth + 2):
-        level = level.join(up, F.col("ancestor_id") == F.col("u")).select("unit_id", F.col("p").alias("ancestor_id"), F.lit(hops).alias("hops"))
-        if not level.limit(1).count():
-            return out
-        if hops > depth:
+    ways, most = ways.select("unit_id", "way"), 1
+    while longest := ways.agg(F.max(F.size("way"))).first()[0]:
+        if longest > depth:
             raise ValueError("a cycle, or a way deeper than allowed")
-        out = out.unionByName(level)
-    return out
+        if longest < most:  # no way can go on
+            break
+        on = ways.select(F.col("unit_id").alias("_u"), F.col("way").alias("_w")).hint("merge")
+        further = ways.withColumn("_last", F.element_at("way", -1)).join(on, F.col("_last") == F.col("_u"), "left")
+        ways, most = written(further.select("unit_id", F.when(F.col("_w").isNull(), F.col("way")).otherwise(F.concat("way", "_w")).alias("way")), most), 2 * most
+    if roots is not None:
+        ways = ways.filter(F.col("unit_id").isin(*roots))
+    return ways.select("unit_id", F.posexplode("way").alias("_at", "ancestor_id")).select("unit_id", "ancestor_id", (F.col("_at") + 1).alias("hops"))
 
 
 def batches(rows: DataFrame, size: str, most: int, order: Sequence[str]) -> DataFrame:
