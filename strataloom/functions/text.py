@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,6 +41,38 @@ def tokens(col: Column) -> Column:
     return F.filter(F.split(fold(F.coalesce(col, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+#: Letters and numbers as the JVM's regular expressions know them; Python's own classes are of another version of Unicode.
+_GAP = r"[^\p{L}\p{N}]+"
+#: Characters outside the ranges where these versions agree.
+_ODD = re.compile("[^\x00-\u04ff\u2000-\u206f\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
+
+
+def splitter(spark: SparkSession) -> Callable[[str], list[str]]:
+    """The runs of letters and digits of a text, in order, for Python workers: as split() has them by the JVM's classes."""
+    odd = "".join(c for i in range(0x500, 0x110000) if not 0xD800 <= i < 0xE000 and _ODD.match(c := chr(i)))
+    known = spark.sparkContext._jvm.java.util.regex.Pattern.compile(_GAP).matcher(odd).replaceAll("")
+    ranges: list[list[int]] = []
+    for i in map(ord, known):
+        if ranges and ranges[-1][1] == i - 1:
+            ranges[-1][1] = i
+        else:
+            ranges.append([i, i])
+    return _Splitter("".join(f"{chr(a)}-{chr(b)}" for a, b in ranges))
+
+
+class _Splitter:
+    """Sent to workers as ranges of letters; patterns are compiled where they are used."""
+
+    def __init__(self, wide: str):
+        self.wide, self.word, self.any = wide, None, None
+
+    def __call__(self, text: str) -> list[str]:
+        if self.word is None:
+            within = "".join(c for i in range(0xD7A4) if not _ODD.match(c := chr(i)) and c.isalnum())
+            self.word, self.any = re.compile(r"[^\W_]+").findall, re.compile(f"[{within}{self.wide}]+").findall
+        return self.any(text) if _ODD.search(text) else self.word(text)
+
+
 def query_terms(query: str, least: int = 3) -> tuple[list[str], bool]:
     """The terms of a lexical query and whether all must occur.
 

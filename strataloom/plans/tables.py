@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table, dealt by a hash of the key where its files have fewer row groups than tasks can run at once: a group is one task's."""
+    n = rows.sparkSession.sparkContext.defaultParallelism
+    parts = rows.select(F.spark_partition_id().alias("p")).distinct().count()  # reads no column
+    return rows if parts >= n else rows.repartition(2 * n, F.xxhash64(key))
+
+
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source_objects: one for each document; a document labelled of low quality is held, so it serves no parse; every 97th is deactivated."""
     docs = table(spark, sf_dir, "documents").select("doc_id")
@@ -51,7 +58,8 @@ def index(spark: SparkSession, sf_dir: str, parse: str = "source") -> Index:
     """
     key = (spark.sparkContext.applicationId, sf_dir, parse)
     if key not in _indexes:
-        _indexes[key] = Index.build(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}", "doc_id", parse)
+        docs = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
+        _indexes[key] = Index.build(docs, f"{shared_dir(spark)}/lexical-{uuid.uuid4().hex}", "doc_id", parse)
     return _indexes[key]
 
 

@@ -7,8 +7,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from strataloom.functions import text
 from strataloom.operators import annotations, graph, lexical, packing
-from strataloom.plans import grain_queries, retrieval
+from strataloom.plans import grain_queries, retrieval, tables
 
 
 def plan(df):
@@ -66,6 +67,69 @@ def test_lexical_list_of_the_pool_is_capped_by_source_alone(spark, tmp_path):
     assert sorted((k, round(s, 9), r) for k, s, r in got) == sorted((k, round(s, 9), r) for k, s, r in want)
 
 
+def put(spark, folder):
+    rows = [(i, "the idiot clown" + " word" * (i % 50), "en", f"src{i % 2}") for i in range(300)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(i, f"l{i % 3}", [float(i % 7), 1.0, 2.0]) for i in range(16)], "vec_id long, label string, embedding array<float>").write.parquet(f"{folder}/embeddings.parquet")
+
+
+def odd_texts():
+    rng = random.Random(8)
+    pool = "ab AÁáÀçÇßΣσς İ\u0870\u0e33क\u093e\u0967٣Ⅷ²ⅷ中\u9fa6\u9fff가\U0001e4d0\U0001d7d8\U00010d50_-.\n"
+    return [None, "", " - _ ", "İ a\u0307", *("".join(rng.choices(pool, k=n)) for n in [3] * 30 + [60] * 30)]
+
+
+def test_words_in_python_are_those_of_the_jvm(spark):
+    every = [chr(i) for i in range(1, 0x30000) if not 0xD800 <= i < 0xE000]
+    texts = [t or "" for t in odd_texts()] + ["a".join(every[i : i + 512]) for i in range(0, len(every), 512)]
+    gap = F.filter(F.split(F.lower("t"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    split = text.splitter(spark)
+    for r in spark.createDataFrame([(t,) for t in texts], "t string").select(F.lower("t").alias("low"), gap.alias("words")).collect():
+        assert split(r.low) == r.words
+
+
+def test_index_is_built_in_segments_without_a_shuffle(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(lexical.Index, "SEGMENT", 50)
+    texts = odd_texts() + ["common river", "river river common", "Ríver ríver river"] * 500
+    rows = spark.createDataFrame([(f"s{i % 3}", i, t) for i, t in enumerate(texts)], "parse_id string, chunk_id long, text string").repartition(3)
+    rows = spark.createDataFrame(rows.collect(), rows.schema)  # else its shuffle is counted
+    tracker, group = spark.sparkContext.statusTracker(), str(tmp_path)
+    spark.sparkContext.setJobGroup(group, "build")
+    index = lexical.Index.build(rows, f"{tmp_path}/index")
+    first = tracker.getJobInfo(min(tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(first.stageIds) == 1, "the postings are written by one stage"
+    held = spark.read.parquet(f"{tmp_path}/index/postings")
+    assert held.filter("term is null").count() > 4
+    terms = [r.term for r in held.filter("term is not null").select("term").distinct().collect()]
+    want = sorted(map(tuple, lexical.postings(rows).select("term", "parse_id", "chunk_id", "tf", "dl").collect()))
+    assert sorted(map(tuple, index.postings(terms).collect())) == want
+    for query in ("river", "common river", "a b", "nothing of it", "中"):
+        got, scan = ({r.chunk_id: round(r.score, 9) for r in x.collect()} for x in (index.scores(query), lexical.scores(rows, query)))
+        assert got == scan
+    assert lexical.Index.build(rows.limit(0), f"{tmp_path}/none").scores("river").count() == 0
+
+
+def test_rows_are_dealt_where_row_groups_are_few(spark, tmp_path):
+    rows = spark.range(400).select("id", F.lit("x").alias("text"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/one")
+    rows.repartition(6).write.parquet(f"{tmp_path}/six")
+    one, six = (spark.read.option("maxPartitionBytes", "1k").parquet(f"{tmp_path}/{n}") for n in ("one", "six"))
+    dealt = tables.spread(one, "id")
+    assert dealt.select(F.spark_partition_id()).distinct().count() >= 4 and dealt.count() == 400
+    assert one.count() == six.count() == 400
+
+
+def test_texts_of_the_pool_are_not_shuffled(spark, tmp_path):
+    put(spark, tmp_path)
+    got = retrieval.document_engine(spark, str(tmp_path))._seeds(retrieval.Request.parse({"query": "idiot clown"}))
+    assert got.count() > 0
+    lines = plan(got).splitlines()
+    at = next(i for i, x in enumerate(lines) if "FileScan" in x and "text" in x.split("ReadSchema")[1])
+    assert "LeftSemi, BuildRight" in "".join(lines[at - 6 : at]), "texts meet the pool where they are read"
+
+
 TEXTS = [None, "", "one\nline\n\n\ntwo", "\n \t\r\n a\n\x0b\nb. c! d", "x " * 900, "é f\n\x85\ng", "last\n"]
 
 
