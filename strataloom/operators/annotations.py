@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..functions.text import splitter
 from ..functions.vectors import cosine
+from ..runtime import prepare
 
 
 def _windows_of(refs: DataFrame, fragments: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +172,8 @@ def grounded(source: str, quote: str) -> bool:
     step = max(1, reach // 4)
     for at in range(0, max(len(s) - reach, 0) + step, step):
         part = s[at : at + reach + step]
-        if _common(masks, len(q), part) >= len(q) - repairs and _aligned(part, q, repairs, omissions):
+        # what needs few repairs is found in a small table
+        if _common(masks, len(q), part) >= len(q) - repairs and any(_aligned(part, q, n, omissions) for n in sorted({0, min(4, repairs), repairs})):
             return True
     return False
 
@@ -197,6 +200,45 @@ def _aligned(s: str, q: str, repairs: int, omissions: int) -> bool:
     return bool((before <= omissions).any())
 
 
+def shared_runs(texts: DataFrame, lengths: Sequence[int], wanted: Sequence[str] | None = None) -> DataFrame:
+    """(id, run), each once: runs of so many words of texts(id, text), words being lower-cased letters and digits, joined by spaces.
+
+    With `wanted`, only those runs. Runs of a text are looked up by numbers made of their words' numbers, all at once, before any is spelt.
+    """
+    split = splitter(prepare(texts.sparkSession))
+    key, low = texts.columns
+    bits = 20
+
+    def numbers(ids: np.ndarray, n: int) -> np.ndarray:
+        out = ids[: len(ids) - n + 1]
+        for j in range(1, n):
+            out = out * np.uint64(0x9E3779B97F4A7C15) + ids[j : len(ids) - n + 1 + j]
+        return (out * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - bits)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole, number, maybe = frozenset(wanted or ()), {}, {n: np.zeros(1 << bits, dtype=bool) for n in lengths}
+        for run in whole:
+            words = run.split(" ")
+            if len(words) in maybe:
+                maybe[len(words)][numbers(np.array([number.setdefault(w, len(number) + 1) for w in words], dtype=np.uint64), len(words))] = True
+        for batch in batches:
+            rows, found = [], []
+            for row, text in enumerate(batch.column(1).to_pylist()):
+                words = split(text or "")
+                own: dict[str, None] = {}
+                ids = np.array([number.get(w, 0) for w in words], dtype=np.uint64) if wanted is not None else None
+                for n in lengths:
+                    if len(words) < n:
+                        continue
+                    at = range(len(words) - n + 1) if ids is None else np.flatnonzero(maybe[n][numbers(ids, n)]).tolist()
+                    own.update((r, None) for i in at if (r := " ".join(words[i : i + n])) in whole or ids is None)
+                rows += [row] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, type=pa.int64())), pa.array(found, type=pa.string())], names=["id", "run"])
+
+    return texts.select(key, F.lower(low)).mapInArrow(find, T.StructType([T.StructField("id", texts.schema[key].dataType), T.StructField("run", T.StringType())]))
+
+
 @F.pandas_udf(T.BooleanType())
 def grounded_col(source: pd.Series, quote: pd.Series) -> pd.Series:
     return pd.Series([a is not None and b is not None and grounded(a, b) for a, b in zip(source, quote, strict=True)])

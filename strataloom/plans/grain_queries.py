@@ -11,7 +11,7 @@ from ..functions.canonical import canonical_json
 from ..functions.text import evidence_text, model_input
 from ..operators import annotations, packing, passages
 from ..sources import html
-from .tables import table
+from .tables import spread, table
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
@@ -107,6 +107,10 @@ def _runs(words: Column, n: Column | int) -> Column:
     return F.array_distinct(F.transform(at, lambda i: F.array_join(F.slice(words, i, n), " ")))
 
 
+#: Up to so many runs of quotes are known to each task, which drops the rest of a text's; of more, all runs of texts are joined.
+FEW_RUNS = 1 << 18
+
+
 def fuzzy_grounding(spark: SparkSession, d: str) -> DataFrame:
     """Each benchmark item, with its third word left out, against the documents that share a run of its words.
 
@@ -117,10 +121,10 @@ def fuzzy_grounding(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").select("item_id", F.regexp_replace("text", r"^(\S+\s+\S+)\s+\S+", "$1").alias("quote")).withColumn("w", words("quote"))
     b = b.withColumn("n", F.least(F.lit(4), F.greatest(F.lit(1), F.floor(F.size("w") / 2).cast("int"))))
     of = b.select("item_id", "quote", F.explode(_runs(F.col("w"), F.col("n"))).alias("run"))
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id")
     lengths = [r["n"] for r in b.select("n").distinct().collect()]  # four at most
-    runs = F.array_distinct(F.concat(F.array().cast("array<string>"), *(_runs(F.col("w"), n) for n in lengths)))
-    near = docs.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(runs).alias("run"))
+    wanted = [r["run"] for r in of.select("run").distinct().limit(FEW_RUNS + 1).collect()]
+    near = annotations.shared_runs(docs, lengths, wanted if len(wanted) <= FEW_RUNS else None).withColumnRenamed("id", "doc_id")
     hit = near.join(of, "run").select("doc_id", "item_id", "quote").distinct()
     return hit.join(docs, "doc_id").select("doc_id", "item_id", annotations.grounded_col("text", "quote").alias("grounded"))
 

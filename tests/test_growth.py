@@ -130,6 +130,47 @@ def test_texts_of_the_pool_are_not_shuffled(spark, tmp_path):
     assert "LeftSemi, BuildRight" in "".join(lines[at - 6 : at]), "texts meet the pool where they are read"
 
 
+def test_shared_runs_are_those_of_all_runs(spark):
+    rng = random.Random(4)
+    texts = [None, "", "one", "B b, b b b", *(" ".join(rng.choices(["a", "B", "c!", "é", "क\u093e", "."], k=rng.randrange(20))) for _ in range(60))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    gap = F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = {r.doc_id: r.w or [] for r in rows.select("doc_id", gap.alias("w")).collect()}
+    want = {(k, " ".join(w[i : i + n])) for k, w in words.items() for n in (1, 4) for i in range(len(w) - n + 1)}
+    got = annotations.shared_runs(rows, [1, 4])
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    few = ["b b b b", "a", "a b c é", "no", "a b", *rng.sample(sorted({r for _, r in want}), 20)]
+    got = annotations.shared_runs(rows, [1, 4], few)
+    assert sorted(map(tuple, got.collect())) == sorted(x for x in want if x[1] in few)
+    assert "explode" not in plan(got) and annotations.shared_runs(rows, [], []).count() == 0
+
+
+def test_grounding_is_the_same_with_many_runs_of_quotes(spark, tmp_path, monkeypatch):
+    item = "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima"
+    spark.createDataFrame([(1, item), (2, "quebec romeo sierra tango")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [f"x {item} y", item.upper(), item.replace("hotel", "hotol"), "Quebec, Romeo sierra; tango", "alpha bravo delta echo", None]
+    spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = []
+    for few in (1 << 18, 0):
+        monkeypatch.setattr(grain_queries, "FEW_RUNS", few)
+        got.append(sorted(map(tuple, grain_queries.fuzzy_grounding(spark, str(tmp_path)).collect())))
+    assert got[0] == got[1] == [(0, 1, True), (1, 1, True), (2, 1, True), (3, 2, True), (4, 1, False)]
+
+
+def test_few_repairs_take_a_small_table(monkeypatch):
+    tried, aligned = [], annotations._aligned
+    monkeypatch.setattr(annotations, "_aligned", lambda s, q, n, o: tried.append(n) or aligned(s, q, n, o))
+    quote = "the quick brown fox jumps over the lazy dog and runs away into the woods"
+    assert annotations.grounded(f"so {quote.replace('fox', 'red fox')} then", quote) and tried == [0]
+    rng = random.Random(6)
+    for _ in range(60):
+        q = "".join(rng.choices("abcd", k=rng.choice([8, 30, 60])))
+        near = "".join(rng.choice(["", c, c, c, c, c, c + "z", "x"]) for c in q)
+        s = "".join(rng.choices("abcd", k=rng.randrange(40))) + near + "".join(rng.choices("abcd", k=rng.randrange(200)))
+        repairs, omissions = min(len(q) // 4, max(4, len(q) * 3 // 20)), max(32, len(q))
+        assert annotations.grounded(s, q) == (q in s or aligned(s, q, repairs, omissions))
+
+
 TEXTS = [None, "", "one\nline\n\n\ntwo", "\n \t\r\n a\n\x0b\nb. c! d", "x " * 900, "é f\n\x85\ng", "last\n"]
 
 
