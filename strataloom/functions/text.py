@@ -47,17 +47,22 @@ _GAP = r"[^\p{L}\p{N}]+"
 _ODD = re.compile("[^\x00-\u04ff\u2000-\u206f\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3]")
 
 
+_wide: list[str] = []
+
+
 def splitter(spark: SparkSession) -> Callable[[str], list[str]]:
     """The runs of letters and digits of a text, in order, for Python workers: as split() has them by the JVM's classes."""
-    odd = "".join(c for i in range(0x500, 0x110000) if not 0xD800 <= i < 0xE000 and _ODD.match(c := chr(i)))
-    known = spark.sparkContext._jvm.java.util.regex.Pattern.compile(_GAP).matcher(odd).replaceAll("")
-    ranges: list[list[int]] = []
-    for i in map(ord, known):
-        if ranges and ranges[-1][1] == i - 1:
-            ranges[-1][1] = i
-        else:
-            ranges.append([i, i])
-    return _Splitter("".join(f"{chr(a)}-{chr(b)}" for a, b in ranges))
+    if not _wide:
+        gap, ranges = spark.sparkContext._jvm.java.util.regex.Pattern.compile(_GAP), []
+        for at in range(0, 0x110000, 4096):  # a few at a time: the driver's memory is small
+            odd = "".join(c for i in range(at, at + 4096) if not 0xD800 <= i < 0xE000 and _ODD.match(c := chr(i)))
+            for i in map(ord, gap.matcher(odd).replaceAll("") if odd else ""):
+                if ranges and ranges[-1][1] == i - 1:
+                    ranges[-1][1] = i
+                else:
+                    ranges.append([i, i])
+        _wide.append("".join(f"{chr(a)}-{chr(b)}" for a, b in ranges))
+    return _Splitter(_wide[0])
 
 
 class _Splitter:
